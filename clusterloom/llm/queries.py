@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from clusterloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from clusterloom.llm.near_dedup import op10_near_dedup
+from clusterloom.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_exact_dedup": OP4_SQL,
+}
