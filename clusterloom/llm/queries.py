@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from clusterloom.llm.chat_format import OP2_SQL, op2_chat_format
 from clusterloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from clusterloom.llm.mixing import OP6_SQL, op6_mixing
 from clusterloom.llm.near_dedup import op10_near_dedup
+from clusterloom.llm.sharding import op8_sharding
 from clusterloom.llm.substring_dedup import op3_substring_dedup
+from clusterloom.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_mixing": op6_mixing,
+    "op8_sharding": op8_sharding,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {
+    "op1_url_filters": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op6_mixing": OP6_SQL,
 }
