@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clusterloom.llm.words import LAST, key_of
 from clusterloom.plans.runtime import cut
 
 LEVELS = ("domain", "lang", "source")
@@ -119,6 +120,15 @@ def mixture(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int =
     return times.where("times > 0").select("doc_id", *path, "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
 
 
+def mixed(docs: DataFrame, budget_percent: int = 80, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` in the mixture of at most one epoch; columns as they were.
+
+    Rows that share a doc_id are taken together if one of them is.
+    """
+    taken = mixture(docs, budget_percent, 1, WEIGHTS, seed).select(F.coalesce("doc_id", F.lit(LAST)).alias("_taken")).distinct()
+    return docs.join(taken, key_of() == F.col("_taken"), "left_semi")
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
