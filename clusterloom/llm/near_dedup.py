@@ -257,14 +257,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE)
     profiles = cut(base.mapInArrow(_profile(k), "doc_id long, key long, n long, s1 long, s2 long, level int, bands array<long>, near binary, far binary"))
 
     filled = profiles.where("n > 0")
-    heads = filled.groupBy("n", "s1", "s2").agg(F.min("key").alias("head"))
-    copies = filled.select("key", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
     #: of the rows of a class that share the least key, any will do: their sets are equal
-    classes = (
-        filled.join(heads.withColumnRenamed("head", "key"), ["n", "s1", "s2", "key"], "left_semi")
-        .dropDuplicates(["key", "n", "s1", "s2"])
-        .select("key", "n", "level", "bands", "near", "far")
-    )
+    least = F.min(F.struct("key", "level", "bands", "near", "far")).alias("least")
+    classes = cut(filled.groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", "least.*"))
+    heads = classes.select("n", "s1", "s2", F.col("key").alias("head"))
+    copies = filled.select("key", "n", "s1", "s2").join(heads, ["n", "s1", "s2"]).where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
     member = classes.select("key", F.explode("bands").alias("bucket"))
     #: buckets with the same members are one; their count and sums of two hashes tell
     buckets = (
