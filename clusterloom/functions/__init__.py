@@ -1 +1 @@
-"""."""
+"""Column functions: text, URLs, addresses, HTML."""

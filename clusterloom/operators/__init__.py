@@ -1 +1 @@
-"""."""
+"""Similarity, clustering, naming, link planning, merging and sinks."""

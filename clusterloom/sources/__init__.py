@@ -1 +1 @@
-"""."""
+"""Where pages come from: robots rules, sitemaps, links, crawls and guarded fetches."""

@@ -1 +1 @@
-"""."""
+"""Keyed rate budgets and progress of streams."""
