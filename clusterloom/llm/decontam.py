@@ -9,6 +9,7 @@ slot must correspond to exactly one value, and back.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import REMEMBERED, binary, key_of, mix, windows
+from clusterloom.llm.words import REMEMBERED, binary, key_of, matching, mix, windows
 
 #: Template tokens in a window; of these, those that must not be placeholders.
 WINDOW, LITERAL = 8, 4
-#: Tokens of a question that agreeing windows must cover (all, if it has fewer).
-COVERED = 13
+#: Tokens of a question that agreeing windows must cover, and the share of it that is enough if it is short.
+COVERED, SHARE = 13, 0.8
 #: Benchmark text that one pass over the documents holds; more takes more passes.
 BLOCK_BYTES = 32_000_000
 
@@ -54,7 +55,7 @@ class Tokens(dict):
             value = int(_NUMBER if not rest else _MEASURE if rest in UNITS else xxhash.xxh3_64_intdigest(low) << 2)
         elif low in NUMBERS:
             value = int(_NUMBER)
-        elif low in UNITS and low == text:
+        elif low in UNITS and (len(low) > 1 or low == text):
             value = int(_UNIT)
         else:
             value = xxhash.xxh3_64_intdigest(low) << 2
@@ -66,11 +67,11 @@ class Tokens(dict):
         return value
 
 
-def template(words: list[bytes], known: Tokens) -> np.ndarray:
-    """Template tokens: a name is a capitalised word inside a sentence; all else is compared in lower case."""
+def template(words: list[bytes], known: Tokens, names: bool = True) -> np.ndarray:
+    """Template tokens: a name is a capitalised word inside a sentence (unless ``names`` is off); all else is compared in lower case."""
     raw = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     token = raw & _KIND
-    if len(raw):
+    if len(raw) and names:
         inside = np.concatenate([[False], (raw[:-1] & np.uint64(2)) == 0])
         token[((raw & np.uint64(1)) == 1) & inside] = _NAME
     return token
@@ -79,17 +80,26 @@ def template(words: list[bytes], known: Tokens) -> np.ndarray:
 def _window_hashes(token: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows, and which have enough literal tokens."""
     literal = np.concatenate([[0], np.cumsum(~np.isin(token, _SLOTS))])
-    return mix(windows(token, width)), literal[width:] - literal[:-width] >= min(LITERAL, width)
+    return mix(windows(token, width)), literal[width:] - literal[:-width] >= -(-LITERAL * width // WINDOW)
 
 
 class Index:
-    """Windows of a block of benchmark items."""
+    """Windows of a block of benchmark items.
+
+    Each item is there with its names as placeholders and, for copies in capitals
+    or small letters, with its names as they are.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         known = Tokens()
-        self.ids = [i for i, _ in items]
-        self.words = [text.split() for _, text in items]
-        self.tokens = [template(w, known) for w in self.words]
+        self.ids, self.words, self.tokens = [], [], []
+        for number, text in items:
+            words = text.split()
+            variants = [template(words, known), template(words, known, False)]
+            for token in variants if (variants[0] != variants[1]).any() else variants[:1]:
+                self.ids.append(number)
+                self.words.append(words)
+                self.tokens.append(token)
         hashes, item, at = [], [], []
         for i, token in enumerate(self.tokens):
             width = min(WINDOW, len(token))
@@ -123,7 +133,7 @@ class Index:
         lines: dict[tuple[int, int], list[int]] = defaultdict(list)
         for item, p, q in self.hits(token):
             lines[item, p - q].append(q)
-        found: dict[int, list[set[int]]] = defaultdict(lambda: [set(), set()])
+        found: dict[int, list] = {}
         for (item, shift), places in lines.items():
             mine, theirs, n = self.tokens[item], self.words[item], len(self.tokens[item])
             width = min(WINDOW, n)
@@ -137,10 +147,11 @@ class Index:
                     agree &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
                     other |= a != b
             if agree:
-                found[item][other].update(covered)
+                first = item - 1 if item and self.words[item - 1] is theirs else item
+                found.setdefault(first, [set(), set()])[other].update(covered)
         for item, (same, other) in found.items():
             n = len(self.tokens[item])
-            if len(same | other) >= min(COVERED, n):
+            if len(same | other) >= min(COVERED, math.ceil(SHARE * n)):
                 yield self.ids[item], n, len(same | other), bool(other - same)
 
 
@@ -167,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
     A row for each row of ``docs`` (doc_id, text, ...) and each item of
     ``benchmark`` (item_id, text, ...) it contains: agreeing windows cover
-    ``COVERED`` tokens of it, or all. Null and empty texts contain nothing and
+    ``COVERED`` tokens of it, or ``SHARE`` of it if that is less. Null and empty texts contain nothing and
     are nothing to find; a null item_id is reported as null, a null doc_id has
     the greatest key. Repeated rows are reported each. The benchmark is held
     in blocks of about ``block_bytes``, one map-only pass over ``docs`` for each.
@@ -194,4 +205,4 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id has a benchmark item in one of its texts; columns as they were."""
     gone = contaminated(docs, benchmark).select(F.col("key").alias("_gone")).distinct()
-    return docs.join(gone, key_of() == F.col("_gone"), "left_anti")
+    return matching(docs, gone, "left_anti")

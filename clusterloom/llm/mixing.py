@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import LAST, key_of
+from clusterloom.llm.words import LAST, matching
 from clusterloom.plans.runtime import cut
 
 LEVELS = ("domain", "lang", "source")
@@ -126,7 +126,7 @@ def mixed(docs: DataFrame, budget_percent: int = 80, seed: str = SEED) -> DataFr
     Rows that share a doc_id are taken together if one of them is.
     """
     taken = mixture(docs, budget_percent, 1, WEIGHTS, seed).select(F.coalesce("doc_id", F.lit(LAST)).alias("_taken")).distinct()
-    return docs.join(taken, key_of() == F.col("_taken"), "left_semi")
+    return matching(docs, taken, "left_semi")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import LAST, WordHashes, binary, key_of, mix, second, signed, windows
+from clusterloom.llm.words import LAST, WordHashes, binary, key_of, matching, mix, signed, windows
 from clusterloom.plans.components import connected_components
 from clusterloom.plans.runtime import cut
 
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE)
         if component is not None:
             at = at.join(component, at["key"] == component["node"], "left").select(at["*"], F.coalesce("component", "key").alias("component"))
             #: where all members are in one component, nothing is left to find
-            open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+            open_ = cut(at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
             at = at.join(open_, "bucket", "left_semi")
         else:
             #: no links yet: every class is a component of its own
@@ -317,4 +317,4 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Of rows that share the doc_id of a component's least document all stay.
     """
     dropped = near_duplicates(docs, threshold).where("key <> component").select(F.col("key").alias("_gone")).distinct()
-    return docs.join(dropped, key_of() == F.col("_gone"), "left_anti")
+    return matching(docs, dropped, "left_anti")

@@ -66,7 +66,8 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> D
     now = slot_map.join(F.broadcast(sizes.select("vslot", "bytes")), "vslot")
     order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(0))
-    now = now.withColumn("keeps", F.sum("bytes").over(order) * shards <= F.sum("bytes").over(everything))
+    fits = F.sum("bytes").over(order) * shards <= F.sum("bytes").over(everything)
+    now = now.withColumn("keeps", fits | (F.col("bytes") == 0))
     now = cut(now)
     loads = {r["shard"]: r["bytes"] for r in now.where("keeps").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
     moved = _deal(now.where("not keeps"), F.array(*(F.lit(loads.get(i, 0)).cast("long") for i in range(shards))))

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words a worker remembers before it starts anew; bounds its memory, not its results.
@@ -23,6 +23,11 @@ def key_of(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST))
 
 
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose key is (left_semi) or isn't (left_anti) in ``keys`` (one column), whatever else ``docs`` has."""
+    return docs.join(keys, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == keys[keys.columns[0]], how)
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered up to a bound."""
 
