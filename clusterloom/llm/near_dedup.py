@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.words import LAST, WordHashes, binary, key_of, matching, mix, signed, windows
 from clusterloom.plans.components import connected_components
-from clusterloom.plans.runtime import cut
+from clusterloom.plans.runtime import cut, rekeyed
 
 SHINGLE, BANDS, ROWS = 5, 20, 3
 #: Shingles that a sketch samples at most before it takes the next coarser rate, and its bits.
@@ -282,8 +282,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE)
         if component is not None:
             at = at.join(component, at["key"] == component["node"], "left").select(at["*"], F.coalesce("component", "key").alias("component"))
             #: where all members are in one component, nothing is left to find
-            open_ = cut(at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
-            at = at.join(open_, "bucket", "left_semi")
+            open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+            at = at.join(rekeyed(open_, "bucket"), "bucket", "left_semi")
         else:
             #: no links yet: every class is a component of its own
             at = at.withColumn("component", F.col("key"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.words import WordHashes, binary, key_of, mix, second, signed, windows
-from clusterloom.plans.runtime import cut
+from clusterloom.plans.runtime import cut, rekeyed
 
 WINDOW, GRAM = 20, 8
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -179,7 +179,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), key_of().alias("key"))
     entries = base.select("key", "text").mapInArrow(_index(window, gram), "h long, b long, key long")
     index = entries.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("b").alias("x"), F.max("b").alias("y")).where("first < last").select("h", "first", (F.col("x") != F.col("y")).alias("differ"))
-    hits = entries.select("h", "key").join(index, "h").where("differ or key > first")
+    hits = entries.select("h", "key").join(rekeyed(index, "h"), "h").where("differ or key > first")
     asked = cut(
         hits.groupBy("key").agg(F.collect_set(F.when(~F.col("differ"), F.col("h"))).alias("blocks"), F.collect_set(F.when(F.col("differ"), F.col("h"))).alias("asked"))
     )
@@ -187,7 +187,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
         base.select("key", "text").join(asked.where("size(asked) > 0").select("key", "asked").hint("shuffle_hash"), "key").mapInArrow(_boundaries(window, gram), "w1 long, w2 long, key long")
     )
     first = checked.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("w1", "w2", "first")
-    found = checked.join(first, ["w1", "w2"]).where("key > first").groupBy("key").agg(F.collect_set("w1").alias("found"))
+    found = checked.join(rekeyed(first, "w1", "w2"), ["w1", "w2"]).where("key > first").groupBy("key").agg(F.collect_set("w1").alias("found"))
     told = asked.select("key", "blocks").join(found, "key", "left")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string" + (", kept_text string" if with_text else "")
     return base.join(told.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "blocks", "found").mapInArrow(_cut_out(window, gram, with_text), out)
