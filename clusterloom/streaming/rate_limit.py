@@ -97,10 +97,11 @@ def is_expensive(mode: Column, method: Column) -> Column:
     return F.coalesce(mode == "crawl", F.lit(False)) | F.coalesce(method.isin("semantic", "embeddings"), F.lit(False))
 
 
-def rate_limit_stream(requests: DataFrame, budget: Budget) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, budget: Budget, late: str = "10 minutes") -> DataFrame:
     """The same over a stream of (request_id long, client_key string, ts timestamp).
 
-    State of a key goes when its window is over by the clock.
+    The clock is the requests' own: the state of a key goes once the watermark is
+    past its window, and requests that come more than ``late`` out of order get no answer.
     """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -111,12 +112,12 @@ def rate_limit_stream(requests: DataFrame, budget: Budget) -> DataFrame:
         pdf = pd.concat(list(pdfs)).sort_values(["ms", "request_id"], kind="stable")
         got = [counter.admit(int(ms)) for ms in pdf["ms"]]
         state.update((counter.count, counter.start))
-        state.setTimeoutDuration(budget.window_ms)
+        state.setTimeoutTimestamp(max(counter.start + budget.window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": pdf["request_id"], "client_key": key[0], "allowed": [a for a, _ in got], "retry_after": [w for _, w in got]})
 
-    rows = requests.select("request_id", "client_key", _milliseconds(requests).alias("ms"))
+    rows = requests.withWatermark("ts", late).select("request_id", "client_key", "ts", _milliseconds(requests).alias("ms"))
     return rows.groupBy("client_key").applyInPandasWithState(
-        run, "request_id long, client_key string, allowed boolean, retry_after long", "count long, start long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "request_id long, client_key string, allowed boolean, retry_after long", "count long, start long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
