@@ -45,8 +45,9 @@ def similar_pairs(sets: DataFrame, threshold: float, metric: str = "overlap", by
 
     Exact. A set of m tokens shares at least ceil(t * m) of them with a set that
     is no smaller, hence one of its m - ceil(t * m) + 1 rarest; these are joined
-    with all tokens of sets that are no smaller. For Jaccard the same holds, and
-    sizes may differ by the threshold at most. Null and empty sets have no pair;
+    with all tokens of sets that are no smaller. For Jaccard the same holds for
+    the larger set, so that only the rarest of both meet, and sizes may differ by
+    the threshold at most. Null and empty sets have no pair;
     repeated ``ord`` values are different rows of one number and no pair.
     """
     keys = list(by)
@@ -58,7 +59,8 @@ def similar_pairs(sets: DataFrame, threshold: float, metric: str = "overlap", by
     #: 1e-9 keeps the rounding of t * m from making the prefix too short
     length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
     small = ranked.select(*keys, F.col("ord").alias("i"), F.col("m").alias("mi"), F.explode(F.slice("rare", F.lit(1), length)).alias("x")).select(*keys, "i", "mi", F.col("x.token").alias("token"))
-    large = exploded.select(*keys, "token", F.col("ord").alias("j"), F.col("m").alias("mj"))
+    whole = small.select(*keys, "token", F.col("i").alias("ord"), F.col("mi").alias("m")) if metric == "jaccard" else exploded
+    large = whole.select(*keys, "token", F.col("ord").alias("j"), F.col("m").alias("mj"))
     fits = (F.col("mj") > F.col("mi")) | ((F.col("mj") == F.col("mi")) & (F.col("j") != F.col("i")))
     if metric == "jaccard":
         fits = fits & (F.col("mi") >= F.col("mj") * threshold - 1e-9)

@@ -31,46 +31,48 @@ class TooManyItems(ValueError):
 
 
 def merges(sim: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(a, b, mean) of each merge of the items 0..n-1; the k-th merge makes group n + k."""
+    """(a, b, mean) of each merge of the items 0..n-1; the k-th merge makes group n + k.
+
+    A merged group takes the place of its first member in the matrix. Each place
+    remembers the best mean of its row, so that a merge looks again only at rows
+    that had theirs with one of the two groups.
+    """
     n = len(sim)
     if n < 2:
         return []
     sums = np.array(sim, float)
-    size = np.ones(n)
-    ids = np.arange(n)
     mean = np.where(np.isnan(sums), -np.inf, sums)
-    mean[np.tril_indices(n)] = -np.inf
-    best = mean.max(axis=1)
-    done = []
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
+    np.fill_diagonal(mean, -np.inf)
+    size, ids, best = np.ones(n), np.arange(n), mean.max(axis=1)
+    done: list[tuple[int, int, float]] = []
+    for new in range(n, 2 * n - 1):
         top = best.max()
         if top == -np.inf or top < threshold:
             break
-        #: rows are kept in order of id, so the first row and column are those of the smallest ids
-        r = int(np.argmax(best))
-        c = int(np.argmax(mean[r] == top))
+        #: the smallest id of a best pair, then the smallest id it pairs with
+        rows = np.nonzero(best == top)[0]
+        r = rows[np.argmin(ids[rows])]
+        partners = np.nonzero(mean[r] == top)[0]
+        c = partners[np.argmin(ids[partners])]
         done.append((int(ids[r]), int(ids[c]), float(top)))
+        stale = (best == mean[:, r]) | (best == mean[:, c])
         row = sums[r] + sums[c]
-        total = size[r] + size[c]
-        keep = np.ones(len(ids), bool)
-        keep[[r, c]] = False
-        size = np.append(size[keep], total)
-        ids = np.append(ids[keep], n + len(done) - 1)
-        alive = np.append(alive[keep], True)
-        row = row[keep]
-        m = len(ids)
-        old_best, arg = best[keep], mean[keep][:, [r, c]].max(axis=1) if m > 1 else np.empty(0)
-        sums = np.block([[sums[np.ix_(keep, keep)], row[:, None]], [row[None, :], np.zeros((1, 1))]])
-        fresh = row / (size[:-1] * total)
-        fresh = np.where(np.isnan(fresh), -np.inf, fresh)
-        mean = np.block([[mean[np.ix_(keep, keep)], fresh[:, None]], [np.full((1, m), -np.inf)]])
-        #: rows whose best was one of the merged groups look again, the others compare with the new group
-        again = arg == old_best
-        best = np.maximum(old_best, fresh)
-        if again.any():
-            best[again] = mean[:-1][again].max(axis=1)
-        best = np.append(best, -np.inf)
+        size[r] += size[c]
+        ids[r] = new
+        sums[r], sums[:, r] = row, row
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fresh = row / (size * size[r])
+        fresh[np.isnan(fresh) | (size == 0)] = -np.inf
+        fresh[[r, c]] = -np.inf
+        mean[r], mean[:, r] = fresh, fresh
+        mean[c], mean[:, c] = -np.inf, -np.inf
+        size[c] = 0
+        best = np.maximum(best, fresh)
+        stale[r] = True
+        stale[c] = False
+        again = np.nonzero(stale)[0]
+        best[again] = mean[again].max(axis=1)
+        best[c] = -np.inf
     return done
 
 
