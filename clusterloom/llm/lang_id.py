@@ -26,7 +26,7 @@ from clusterloom.llm.words import binary, key_of
 #: Sampled texts per label, labels, and the characters of a sampled text's segment: what bounds the driver's sample.
 TEXTS, LABELS, SEGMENT_CHARS = 300, 48, 6_000
 #: Training chains and their words; weights; passes.
-CHAINS, CHAIN, SLOTS, PASSES = 1_600, 60, 1 << 16, 40
+CHAINS, CHAIN, SLOTS, PASSES = 1_000, 60, 1 << 16, 30
 #: Words a worker remembers, and words labelled at a time.
 REMEMBERED, AT_ONCE = 400_000, 1_000_000
 UNKNOWN = "und"
