@@ -18,8 +18,8 @@ from clusterloom.plans.runtime import cut
 
 #: Characters of the normalised text that splitters compare; what they leave equal the hash and the doc_id divide.
 HEAD = 48
-#: Rows sampled for splitters, and ranges: both bound what the driver holds (about 10 MB at most).
-SAMPLED, RANGES = 20_000, 2_048
+#: Ranges at most, and rows sampled for splitters: at least ``SAMPLED``, else four a range. Both bound what the driver holds (about 20 MB at most).
+RANGES, SAMPLED = 16_384, 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -37,9 +37,9 @@ def _splitters(docs: DataFrame, ranges: int) -> list:
 
     They only say where ranges begin; results are the same for any sample.
     """
-    rows = docs.count()
-    some = docs.where(F.rand(11) < SAMPLED / rows) if rows > SAMPLED else docs
-    sample = _keyed(some).select("head", "h", "key").limit(2 * SAMPLED).collect()
+    rows, wanted = docs.count(), max(SAMPLED, 4 * ranges)
+    some = docs.where(F.rand(11) < wanted / rows) if rows > wanted else docs
+    sample = _keyed(some).select("head", "h", "key").limit(2 * wanted).collect()
     sample = sorted((r["head"].encode(), r["head"], r["h"], r["key"]) for r in sample)
     step = len(sample) / ranges
     return [sample[int(i * step)][1:] for i in range(1, ranges)] if len(sample) >= ranges else [x[1:] for x in sample[1:]]

@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.plans.runtime import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules the index is part of the expression, and a map-only pass judges all URLs; more are joined.
 INLINE = 1_000
@@ -111,7 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = tuple(RULES), inline: int =
         table = pages.sparkSession.range(1).select(rows.alias("x")).select("x.*")
         wanted = tokens.select(subject.alias("_subject"), F.explode("_tokens").alias("_token")).distinct()
         fits = wanted.join(table, "_token").where(F.regexp_like(F.col("_subject"), F.col("_rule.pattern"))).groupBy("_subject").agg(F.max("_rule").alias("_best"))
-        judged = tokens.withColumn("_subject", subject).join(fits, "_subject", "left").drop("_subject")
+        judged = tokens.withColumn("_subject", subject).join(cut(fits), "_subject", "left").drop("_subject")
     return judged.select(
         *[c for c in pages.columns],
         F.when(F.col("_best.rank") == 1, F.col("_best.name")).alias("rule"),
