@@ -19,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import REMEMBERED, binary, key_of, matching, mix, windows
+from clusterloom.llm.words import binary, key_of, matching, mix, windows
 
 #: Template tokens in a window; of these, those that must not be placeholders.
 WINDOW, LITERAL = 8, 4
 #: Tokens of a question that agreeing windows must cover, and the share of it that is enough if it is short.
 COVERED, SHARE = 13, 0.8
+#: Words a worker remembers before it starts anew; bounds its memory, not its results.
+REMEMBERED = 300_000
 #: Benchmark text that one pass over the documents holds; more takes more passes.
 BLOCK_BYTES = 32_000_000
 

@@ -72,10 +72,6 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return mix(folded + np.arange(BANDS, dtype=np.uint64))
 
 
-def _lower_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _profile(k: int):
     out = pa.schema(
         [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("level", pa.int32()), ("bands", pa.list_(pa.int64())), ("near", pa.binary()), ("far", pa.binary())]
@@ -86,7 +82,7 @@ def _profile(k: int):
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for text in binary(batch, "text"):
-                s = shingles(hashes.of(_lower_words(text)), k) if text else np.empty(0, np.uint64)
+                s = shingles(hashes.of(text.lower() if text else None), k)
                 if not len(s):
                     got = (0, 0, 0, 0, None, None, None)
                 else:
@@ -109,7 +105,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(hashes.of(_lower_words(t)), k).tobytes() if t else b"" for t in binary(batch, "text")]
+            sets = [shingles(hashes.of(t.lower() if t else None), k).tobytes() for t in binary(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(sets, pa.binary())], schema=out)
 
     return run

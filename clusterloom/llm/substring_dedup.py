@@ -106,7 +106,7 @@ def _index(window: int, gram: int):
         for batch in batches:
             parts, keys = [], []
             for key, text in zip(_column(batch, "key"), binary(batch, "text"), strict=True):
-                h, b = Parse(hashes.of((text or b"").split()), window, gram).blocks()
+                h, b = Parse(hashes.of(text), window, gram).blocks()
                 if len(h):
                     parts.append((h, b))
                     keys.append(np.full(len(h), key, np.int64))
@@ -130,7 +130,7 @@ def _boundaries(window: int, gram: int):
         hashes = WordHashes()
         for batch in batches:
             for key, text, asked in zip(_column(batch, "key"), binary(batch, "text"), _column(batch, "asked"), strict=True):
-                p = Parse(hashes.of((text or b"").split()), window, gram)
+                p = Parse(hashes.of(text), window, gram)
                 here = np.nonzero(_in(p.least, asked))[0]
                 if not len(here):
                     continue
@@ -151,7 +151,7 @@ def _cut_out(window: int, gram: int, with_text: bool):
             rows = []
             for doc_id, text, blocks, found in zip(_column(batch, "doc_id"), binary(batch, "text"), _column(batch, "blocks"), _column(batch, "found"), strict=True):
                 words = (text or b"").split()
-                p = Parse(hashes.of(words), window, gram)
+                p = Parse(hashes.of(text), window, gram)
                 gone = np.zeros(len(words), bool)
                 if len(p.full):
                     known = p.repeated() | _in(p.least, blocks) | _in(p.full, found)

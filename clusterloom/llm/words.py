@@ -6,12 +6,9 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 300_000
 #: What a null doc_id counts as in orders: it comes after all others.
 LAST = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,17 +25,11 @@ def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return docs.join(keys, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == keys[keys.columns[0]], how)
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: What separates words (fixed values).
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at a time, up to the next space; bounds the tables of powers.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +62,51 @@ def second(a: np.ndarray, k: int) -> np.ndarray:
     return windows(mix(a ^ _ODD2), k, _ODD2)
 
 
+class WordHashes:
+    """64-bit hashes of a text's words, all words at once.
+
+    Bytes get random values and the place of a byte in the text a power of an odd
+    number; differences of running sums, divided by the power of the first place,
+    are polynomial hashes of the words, wherever they stand.
+    """
+
+    def __init__(self) -> None:
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * _ODD2)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        while len(self.powers) < n:
+            m = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(int(_ODD), m, 1 << 64))])
+            self.inverse = np.concatenate([self.inverse, self.inverse * np.uint64(pow(int(_ODD), -m, 1 << 64))])
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Hashes of the runs of other than white space, in order."""
+        if not text:
+            return np.empty(0, np.uint64)
+        if len(text) <= PIECE:
+            return self._piece(text)
+        parts, at = [], 0
+        while at < len(text):
+            end = at + PIECE
+            while end < len(text) and not _SPACE[text[end]]:
+                end += 1
+            parts.append(self._piece(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _piece(self, text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text, np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            return np.empty(0, np.uint64)
+        self._reach(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.powers[: len(raw)], out=total[1:])
+        return mix((total[end] - total[start]) * self.inverse[start])
+
+
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 

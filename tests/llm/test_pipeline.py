@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from clusterloom.llm.words import WordHashes
 
-from .brute import LAST, components
+from .brute import components
 
 
 def staged(spark, docs, folder, sf):
@@ -53,10 +53,16 @@ def test_stages_take_odd_tables(spark, sf, kind, tmp_path, request):
             assert 0 < out.count() <= docs.count()
 
 
-def test_hashes_forget_without_harm(monkeypatch):
+def test_hashes_don_t_depend_on_place_or_pieces(monkeypatch):
     import clusterloom.llm.words as w
 
-    monkeypatch.setattr(w, "REMEMBERED", 3)
-    h = WordHashes()
-    a = h.of([b"a", b"b", b"c", b"d", b"e", b"a"])
-    assert a[0] == a[5] and len(set(a.tolist())) == 5 and LAST > 0
+    text = (" ab\tabc\x0bb  caf\u00e9\x1cx \u00a0 ab\n" * 40).encode() + b"ab" * 30
+    want, seen = WordHashes().of(text), {}
+    assert len(want) == len(text.split())
+    for word, h in zip(text.split(), want.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(w, "PIECE", piece)
+        assert WordHashes().of(text).tolist() == want.tolist()
+    assert [len(WordHashes().of(x)) for x in (None, b"", b" \n", b"a", b" a ")] == [0, 0, 0, 1, 1]
