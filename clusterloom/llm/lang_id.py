@@ -157,12 +157,25 @@ def fit_on(labelled: DataFrame, texts: int = TEXTS) -> Model:
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+class _Numbers(dict):
+    """word -> number in order of first occurrence; ``new`` lists the words that were added."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new.append(word)
+        return i
+
+
 def _label(shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         k = len(model.labels)
         step = np.exp(model.moves).astype(np.float32) if k else None
-        number: dict[bytes, int] = {}
+        number = _Numbers()
         table = np.zeros((1, k), np.float32)
         lettered = np.zeros(1, bool)
 
@@ -170,21 +183,18 @@ def _label(shared, columns: list[str]):
             nonlocal table, lettered
             if len(number) > REMEMBERED:
                 number.clear()
-            new = [w for w in dict.fromkeys(words) if w not in number]
-            if new:
-                base = len(number)
-                if base + len(new) > len(table):
-                    grown = max(2 * len(table), base + len(new))
-                    table = np.concatenate([table, np.zeros((grown - len(table), k), np.float32)])
-                    lettered = np.concatenate([lettered, np.zeros(grown - len(lettered), bool)])
-                for i, w in enumerate(new, base):
+            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            if number.new:
+                if len(number) > len(table):
+                    more = max(len(table), len(number) - len(table))
+                    table = np.concatenate([table, np.zeros((more, k), np.float32)])
+                    lettered = np.concatenate([lettered, np.zeros(more, bool)])
+                for i, w in enumerate(number.new, len(number) - len(number.new)):
                     text = w.decode(errors="replace").lower()
-                    number[w] = i
                     lettered[i] = text.isalpha() or any(c.isalpha() for c in text)
                     table[i] = model.scores(text) if lettered[i] else 0
-            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            has = lettered[ids]
-            return table[ids], has
+                number.new.clear()
+            return table[ids], lettered[ids]
 
         def solve(batch: list[tuple[int, np.ndarray, np.ndarray]], share: np.ndarray) -> None:
             """Mean posteriors over the lettered words of each text, the longest first."""
