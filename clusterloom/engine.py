@@ -12,6 +12,7 @@ from clusterloom.operators.clustering import Method, cluster_items, cluster_phra
 from clusterloom.operators.merging import MergedPage, merge_similar
 from clusterloom.operators.providers import Embedder, Nothing, Writer
 from clusterloom.operators.site import cluster_sites, distinct_signals, duplicate_warnings, expand, link_suggestions
+from clusterloom.plans.runtime import cut
 from clusterloom.sources.crawl import crawl_stats, discover
 
 
@@ -46,8 +47,13 @@ class Engine:
         return Phrases(method, cluster_phrases(phrases, method, context, embedder=self.embedder, writer=self.writer))
 
     def cluster_site(self, fetched: DataFrame, method: Method = "lexical", context: str | None = None) -> Sites:
-        """All sites of ``fetched`` at once for the lexical method, one site for the others; raises InvalidInput without any page."""
-        pages, wanted = discover(fetched)
+        """All sites of ``fetched`` at once for the lexical method, one site for the others; raises InvalidInput without any page.
+
+        Pages and clusters are kept, as every result builds on them: a page is
+        parsed once, and a site is clustered once.
+        """
+        found, wanted = discover(fetched)
+        pages = cut(found)
         if pages.limit(1).count() == 0:
             raise InvalidInput("no page was found")
         if method == "lexical":
@@ -57,9 +63,10 @@ class Engine:
             if len(origins) > 1:
                 raise InvalidInput("this method takes one site at a time")
             items = distinct_signals(pages, ()).select("ord", "phrase")
-            found = cluster_items(items, method, context or origins[0], True, self.embedder, self.writer)
-            named = found.withColumn("origin", F.lit(origins[0])).withColumn("cluster", F.col("rank"))
+            told = cluster_items(items, method, context or origins[0], True, self.embedder, self.writer)
+            named = told.withColumn("origin", F.lit(origins[0])).withColumn("cluster", F.col("rank"))
             clusters = expand(items, named, pages)
+        clusters = cut(clusters)
         return Sites(method, clusters, link_suggestions(clusters), duplicate_warnings(pages), crawl_stats(wanted, pages))
 
     def merge_similar(self, urls: DataFrame, fetched: DataFrame, context: str | None = None) -> MergedPage:

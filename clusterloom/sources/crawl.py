@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.html import page_links, page_signal, signal_text
 from clusterloom.functions.urls import slug_label, url_parts
+from clusterloom.plans.runtime import cut
 from clusterloom.sources.robots import disallowed, rules_of
 from clusterloom.sources.sitemaps import sitemap_urls
 
@@ -83,7 +84,8 @@ def discover(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, candidates) of all sites whose home page was fetched.
 
     Home pages, robots and sitemap files are rows of ``fetched`` with path ``/``,
-    ``/robots.txt`` and ``/sitemap.xml``.
+    ``/robots.txt`` and ``/sitemap.xml``. Candidates are computed at once and kept:
+    pages and statistics both build on them.
     """
     placed = fetched.withColumn("p", url_parts(F.col("url")))
     named = placed.where("ok").select(F.col("p.origin").alias("origin"), F.col("p.path").alias("path"), "url", "html")
@@ -92,5 +94,5 @@ def discover(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     maps = sitemap_urls(named.where("path = '/sitemap.xml'").select("origin", F.col("html").alias("body")), fetched.where("ok").select("url", F.col("html").alias("body")))
     maps = maps.join(homes.select("origin"), "origin", "left_semi")
     links = site_links(homes.select("origin", F.concat("origin", F.lit("/")).alias("url"), "html"), fetched)
-    wanted = candidates(homes, maps, links, rules)
+    wanted = cut(candidates(homes, maps, links, rules))
     return materialize(wanted, fetched), wanted
