@@ -21,6 +21,7 @@ from clusterloom.operators.similarity import cosine_pairs, ordered_distinct, sha
 from clusterloom.operators.sinks import cluster_lines, link_lines
 from clusterloom.operators.site import cluster_sites, duplicate_warnings, link_suggestions
 from clusterloom.operators.upgma import labelled
+from clusterloom.plans.runtime import cut
 from clusterloom.sources.crawl import candidates, crawl_stats
 from clusterloom.sources.robots import allowed_pages, disallow_rules, rules_of
 from clusterloom.sources.sitemaps import sitemap_urls
@@ -160,6 +161,11 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select(origin(F.col("url")).alias("origin"), F.col("page_id").alias("ord"), "url", label.alias("label"), F.coalesce(F.nullif(signal_text(F.col("s")), F.lit("")), label).alias("signal"))
 
 
+def kept_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``site_pages`` parsed once, for queries that read them several times."""
+    return cut(site_pages(spark, sf))
+
+
 @query(f"WITH {_PAGES} SELECT page_id, title, h1, '' AS meta_description, h1 AS headings, body AS body_excerpt FROM sig")
 def page_signals(spark, sf):
     s = table(spark, sf, "pages").select("page_id", page_signal(F.col("html")).alias("s"))
@@ -260,13 +266,13 @@ dup AS (SELECT x.page_id AS i, y.page_id AS j, x.url AS url_a, x.label AS label_
 
 @query(f"WITH {_PAGES}, {_OVERLAP} SELECT url_a, label_a, url_b, label_b, round(s, 9) AS similarity, row_number() OVER (ORDER BY s DESC, i, j) AS rank FROM dup WHERE s >= 0.7")
 def overlap_duplicates(spark, sf):
-    found = duplicate_warnings(site_pages(spark, sf), by=())
+    found = duplicate_warnings(kept_pages(spark, sf), by=())
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"WITH {_PAGES}, {_OVERLAP} SELECT oa AS origin, url_a, label_a, url_b, label_b, round(s, 9) AS similarity, row_number() OVER (PARTITION BY oa ORDER BY s DESC, i, j) AS rank FROM dup WHERE s >= 0.7 AND oa = ob")
 def site_duplicates(spark, sf):
-    return duplicate_warnings(site_pages(spark, sf)).withColumn("similarity", F.round("similarity", 9))
+    return duplicate_warnings(kept_pages(spark, sf)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -353,7 +359,7 @@ def embedding_clusters(spark, sf):
 @query()
 def site_clusters(spark, sf):
     """Silos of every site: clusters of its pages by overlap."""
-    found = cluster_sites(site_pages(spark, sf))
+    found = cluster_sites(kept_pages(spark, sf))
     return found.select("origin", "rank", "name", "main_phrase", F.array_join("phrases", "|").alias("phrases"), F.size("pages").cast("long").alias("n_pages"))
 
 
@@ -397,7 +403,7 @@ def silo_links(spark, sf):
 @query()
 def link_export(spark, sf):
     """Tab-separated links of all clusters of all sites."""
-    return link_lines(link_suggestions(cluster_sites(site_pages(spark, sf)))).select("line")
+    return link_lines(link_suggestions(cluster_sites(kept_pages(spark, sf)))).select("line")
 
 
 @query(
