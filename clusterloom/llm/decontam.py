@@ -4,13 +4,15 @@ Numbers, units and names become typed placeholders, so that a benchmark
 question with other parameters has the same template. Windows of template tokens
 are hash-joined with those of the benchmark. A join hit only counts if the
 fillings agree: along one alignment of a question and a document each value of a
-slot must correspond to exactly one value, and back.
+slot corresponds to one value, and back, in lower case. Equal values come first,
+then the most frequent pairs; a window with a slot filled otherwise doesn't count,
+whatever the other windows hold.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +87,25 @@ def _window_hashes(token: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return mix(windows(token, width)), literal[width:] - literal[:-width] >= -(-LITERAL * width // WINDOW)
 
 
+def filling(word: bytes) -> str:
+    """What a slot holds, as it is compared."""
+    return word.strip(_EDGE).decode(errors="replace").lower()
+
+
+def conflicts(slots: dict[int, tuple[int, str, str]]) -> set[int]:
+    """The places of ``slots`` (place -> kind, value, other value) outside the one-to-one map of their values.
+
+    Equal values are in the map, then the most frequent pairs, of these the first ones.
+    """
+    there: dict[tuple[int, str], str] = {}
+    back: dict[tuple[int, str], str] = {}
+    pairs = Counter(slots.values())
+    for kind, a, b in sorted(pairs, key=lambda x: (x[1] != x[2], -pairs[x])):
+        if (kind, a) not in there and (kind, b) not in back:
+            there[kind, a], back[kind, b] = b, a
+    return {x for x, (kind, a, b) in slots.items() if there.get((kind, a)) != b}
+
+
 class Index:
     """Windows of a block of benchmark items.
 
@@ -137,20 +158,16 @@ class Index:
             lines[item, p - q].append(q)
         found: dict[int, list] = {}
         for (item, shift), places in lines.items():
-            mine, theirs, n = self.tokens[item], self.words[item], len(self.tokens[item])
-            width = min(WINDOW, n)
-            covered = sorted({x for q in places for x in range(q, q + width)})
-            there: dict[tuple[int, bytes], bytes] = {}
-            back: dict[tuple[int, bytes], bytes] = {}
-            agree, other = True, False
-            for x in covered:
-                if mine[x] in _SLOTS:
-                    a, b, kind = theirs[x].strip(_EDGE), words[x + shift].strip(_EDGE), int(mine[x])
-                    agree &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-                    other |= a != b
-            if agree:
-                first = item - 1 if item and self.words[item - 1] is theirs else item
-                found.setdefault(first, [set(), set()])[other].update(covered)
+            mine, theirs = self.tokens[item], self.words[item]
+            width = min(WINDOW, len(mine))
+            slots = {x: (int(mine[x]), filling(theirs[x]), filling(words[x + shift])) for x in sorted({x for q in places for x in range(q, q + width)}) if mine[x] in _SLOTS}
+            void = conflicts(slots)
+            changed = {x for x, (_, a, b) in slots.items() if a != b}
+            first = item - 1 if item and self.words[item - 1] is theirs else item
+            for q in places:
+                window = range(q, q + width)
+                if void.isdisjoint(window):
+                    found.setdefault(first, [set(), set()])[not changed.isdisjoint(window)].update(window)
         for item, (same, other) in found.items():
             n = len(self.tokens[item])
             if len(same | other) >= min(COVERED, math.ceil(SHARE * n)):
@@ -180,7 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
     A row for each row of ``docs`` (doc_id, text, ...) and each item of
     ``benchmark`` (item_id, text, ...) it contains: agreeing windows cover
-    ``COVERED`` tokens of it, or ``SHARE`` of it if that is less. Null and empty texts contain nothing and
+    ``COVERED`` tokens of it, or ``SHARE`` of it if that is less; slots that
+    disagree void the windows they are in and no others. Null and empty texts contain nothing and
     are nothing to find; a null item_id is reported as null, a null doc_id has
     the greatest key. Repeated rows are reported each. The benchmark is held
     in blocks of about ``block_bytes``, one map-only pass over ``docs`` for each.

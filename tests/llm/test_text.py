@@ -127,6 +127,19 @@ def test_fillings_must_agree(spark):
     assert {r.doc_id for r in contaminated(docs, bench).collect()} == {1}
 
 
+def test_conflicting_slots_void_only_their_windows(spark):
+    """Case is no conflict, and verbatim windows count whatever another slot holds."""
+    case = "In the first box there are Two red balls and in the other one two blue balls, so how many are there in all"
+    plain = "please write down every single step of the proof that the sum of these odd numbers is always even"
+    item = f"A train drives 80 km at 9 and {plain} before 9"
+    bench = spark.createDataFrame([(1, case), (2, item)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, case.lower()), (2, case.upper()), (3, item.replace("9", "11", 1)), (4, item.replace("80", "7").replace("9", "7"))],
+        "doc_id long, text string",
+    )
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_languages_are_told_apart_on_held_out_documents(spark, sf):
     path = f"{sf}/../sf0.01"
     got = op9_lang_id(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
