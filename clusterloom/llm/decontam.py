@@ -7,6 +7,10 @@ fillings agree: along one alignment of a question and a document each value of a
 slot corresponds to one value, and back, in lower case. Equal values come first,
 then the most frequent pairs; a window with a slot filled otherwise doesn't count,
 whatever the other windows hold.
+
+Items and documents are compared in three forms: with names as placeholders,
+with names as they are, and with every word as it is, but for case. The last
+finds each copy of 13 tokens, even of items that are mostly numbers, units and names.
 """
 
 from __future__ import annotations
@@ -46,50 +50,64 @@ _KIND = ~np.uint64(3)
 
 
 class Tokens(dict):
-    """word -> hash with two flags in its lowest bits: 1 the word is shaped like a name, 2 it ends a sentence."""
+    """word -> its place in ``kind`` and ``plain``.
+
+    ``kind`` holds its template token with two flags in its lowest bits (1 the word is shaped like a name,
+    2 it ends a sentence), ``plain`` the hash of the word itself, whatever its case.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kind, self.plain = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
         core = word.strip(_EDGE)
         text = core.decode(errors="replace")
-        low = text.lower()
+        low = text.casefold()
+        plain = value = xxhash.xxh3_64_intdigest(low) << 2 & (2**64 - 1)
         if core[:1].isdigit():
             rest = low.lstrip("0123456789.,:-/")
-            value = int(_NUMBER if not rest else _MEASURE if rest in UNITS else xxhash.xxh3_64_intdigest(low) << 2)
+            value = int(_NUMBER if not rest else _MEASURE if rest in UNITS else plain)
         elif low in NUMBERS:
             value = int(_NUMBER)
         elif low in UNITS and (len(low) > 1 or low == text):
             value = int(_UNIT)
-        else:
-            value = xxhash.xxh3_64_intdigest(low) << 2
-            if len(text) > 1 and text[0].isupper() and text[1:].islower():
-                value |= 1
+        elif len(text) > 1 and text[0].isupper() and text[1:].islower():
+            value |= 1
         if word.rstrip(b"\"')]*")[-1:] in (b".", b"!", b"?", b":"):
             value |= 2
-        self[word] = value = value & (2**64 - 1)
-        return value
-
-
-def template(words: list[bytes], known: Tokens, names: bool = True) -> np.ndarray:
-    """Template tokens: a name is a capitalised word inside a sentence (unless ``names`` is off); all else is compared in lower case."""
-    raw = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        i = self[word] = len(self)
+        if i == len(self.kind):
+            self.kind, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.plain))
+        self.kind[i], self.plain[i] = value, plain
+        return i
+
+
+def forms(words: list[bytes], known: Tokens) -> list[np.ndarray]:
+    """The different ones of a text's token sequences: with names (capitalised words inside a sentence) as placeholders, without, and with no placeholders at all."""
+    if len(known) >= REMEMBERED:
+        known.clear()
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    raw, plain = known.kind[at], known.plain[at]
     token = raw & _KIND
-    if len(raw) and names:
-        inside = np.concatenate([[False], (raw[:-1] & np.uint64(2)) == 0])
-        token[((raw & np.uint64(1)) == 1) & inside] = _NAME
-    return token
+    out = [token]
+    named = (raw & np.uint64(1)) == 1
+    named[:1] = False
+    named[1:] &= (raw[:-1] & np.uint64(2)) == 0
+    if named.any():
+        out = [np.where(named, _NAME, token), token]
+    return out if (plain == token).all() else [*out, plain]
 
 
 def _window_hashes(token: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows, and which have enough literal tokens."""
-    literal = np.concatenate([[0], np.cumsum(~np.isin(token, _SLOTS))])
+    literal = np.concatenate([[0], np.cumsum(token > _SLOTS.max())])
     return mix(windows(token, width)), literal[width:] - literal[:-width] >= -(-LITERAL * width // WINDOW)
 
 
 def filling(word: bytes) -> str:
     """What a slot holds, as it is compared."""
-    return word.strip(_EDGE).decode(errors="replace").lower()
+    return word.strip(_EDGE).decode(errors="replace").casefold()
 
 
 def conflicts(slots: dict[int, tuple[int, str, str]]) -> set[int]:
@@ -107,69 +125,77 @@ def conflicts(slots: dict[int, tuple[int, str, str]]) -> set[int]:
 
 
 class Index:
-    """Windows of a block of benchmark items.
-
-    Each item is there with its names as placeholders and, for copies in capitals
-    or small letters, with its names as they are.
-    """
+    """Windows of a block of benchmark items, each in all its forms."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         known = Tokens()
-        self.ids, self.words, self.tokens = [], [], []
+        self.ids, self.words, self.forms = [], [], []
+        found = []
         for number, text in items:
             words = text.split()
-            variants = [template(words, known), template(words, known, False)]
-            for token in variants if (variants[0] != variants[1]).any() else variants[:1]:
-                self.ids.append(number)
-                self.words.append(words)
-                self.tokens.append(token)
-        hashes, item, at = [], [], []
-        for i, token in enumerate(self.tokens):
-            width = min(WINDOW, len(token))
-            if not width:
+            if not words:
                 continue
-            h, ok = _window_hashes(token, width)
-            pick = np.nonzero(ok)[0]
-            hashes.append(h[pick])
-            item.append(np.full(len(pick), i))
-            at.append(pick)
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        self.hashes, self.item, self.at = cat(hashes, np.uint64), cat(item, np.int64), cat(at, np.int64)
+            width, before = min(WINDOW, len(words)), []
+            for i, token in enumerate(forms(words, known)):
+                h, new = _window_hashes(token, width)
+                for x in before:
+                    new &= h != x
+                before.append(h)
+                pick = np.nonzero(new)[0]
+                found.append((h[pick], np.full(len(pick), len(self.ids)), np.full(len(pick), i), pick))
+            self.ids.append(number)
+            self.words.append(words)
+            self.forms.append(forms(words, known))
+        kinds = np.uint64, np.int32, np.int8, np.int32
+        self.hashes, self.item, self.form, self.at = (np.concatenate(x).astype(k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)) if found else (np.empty(0, k) for k in kinds)
         order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.item, self.at = self.hashes[order], self.item[order], self.at[order]
-        self.widths = sorted({min(WINDOW, len(t)) for t in self.tokens if len(t)})
-
-    def hits(self, token: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, place in the document, place in the item) of equal windows."""
+        self.hashes, self.item, self.form, self.at = self.hashes[order], self.item[order], self.form[order], self.at[order]
+        self.widths = sorted({min(WINDOW, len(w)) for w in self.words})
+        #: rules out most windows before they are searched
+        self.bits = np.uint64(64 - min(24, max(12, (16 * len(self.hashes)).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.bits)), bool)
+        self.maybe[self.hashes >> self.bits] = True
+
+    def hits(self, seen: list[np.ndarray]) -> set[tuple[int, int, int, int]]:
+        """(item, its form, place in the document, place in the item) of equal windows; ``seen``: the forms of the document."""
+        found = set()
         for width in self.widths:
-            if len(token) < width:
-                continue
-            h, ok = _window_hashes(token, width)
-            low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for p in np.nonzero(ok & (high > low))[0].tolist():
-                for q in range(int(low[p]), int(high[p])):
-                    if min(WINDOW, len(self.tokens[self.item[q]])) == width:
-                        yield int(self.item[q]), p, int(self.at[q])
-
-    def matches(self, words: list[bytes], token: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
+            before: list[np.ndarray] = []
+            for token in seen if len(seen[0]) >= width else ():
+                h, ok = _window_hashes(token, width)
+                ok &= self.maybe[h >> self.bits]
+                for x in before:
+                    ok &= h != x
+                before.append(h)
+                place = np.nonzero(ok)[0]
+                low, high = np.searchsorted(self.hashes, h[place], "left"), np.searchsorted(self.hashes, h[place], "right")
+                for p, start, end in zip(place.tolist(), low.tolist(), high.tolist(), strict=True):
+                    for q in range(start, end):
+                        if min(WINDOW, len(self.words[self.item[q]])) == width:
+                            found.add((int(self.item[q]), int(self.form[q]), p, int(self.at[q])))
+        return found
+
+    def matches(self, words: list[bytes], seen: list[np.ndarray]) -> Iterator[tuple[int, int, int, bool]]:
         """(item_id, item's tokens, tokens covered, other fillings) of the items that a document contains."""
-        lines: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for item, p, q in self.hits(token):
-            lines[item, p - q].append(q)
-        found: dict[int, list] = {}
-        for (item, shift), places in lines.items():
-            mine, theirs = self.tokens[item], self.words[item]
-            width = min(WINDOW, len(mine))
-            slots = {x: (int(mine[x]), filling(theirs[x]), filling(words[x + shift])) for x in sorted({x for q in places for x in range(q, q + width)}) if mine[x] in _SLOTS}
+        lines: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for item, form, p, q in self.hits(seen):
+            lines[item, p - q].append((form, q))
+        found: dict[int, tuple[set, set]] = {}
+        for (item, shift), places in sorted(lines.items()):
+            mine, theirs = self.forms[item], self.words[item]
+            width = min(WINDOW, len(theirs))
+            slots = {}
+            for x, form in sorted({(x, form) for form, q in places for x in range(q, q + width)}):
+                if mine[form][x] in _SLOTS:
+                    slots[x] = int(mine[form][x]), filling(theirs[x]), filling(words[x + shift])
             void = conflicts(slots)
             changed = {x for x, (_, a, b) in slots.items() if a != b}
-            first = item - 1 if item and self.words[item - 1] is theirs else item
-            for q in places:
+            for _, q in places:
                 window = range(q, q + width)
                 if void.isdisjoint(window):
-                    found.setdefault(first, [set(), set()])[not changed.isdisjoint(window)].update(window)
+                    found.setdefault(item, (set(), set()))[not changed.isdisjoint(window)].update(window)
         for item, (same, other) in found.items():
-            n = len(self.tokens[item])
+            n = len(self.words[item])
             if len(same | other) >= min(COVERED, math.ceil(SHARE * n)):
                 yield self.ids[item], n, len(same | other), bool(other - same)
 
@@ -185,7 +211,7 @@ def _search(shared):
             ids, keys = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key"))
             for doc_id, key, text in zip(ids, keys, binary(batch, "text"), strict=True):
                 words = (text or b"").split()
-                rows += [(doc_id, key, *m) for m in index.matches(words, template(words, known))]
+                rows += [(doc_id, key, *m) for m in index.matches(words, forms(words, known))]
             columns = list(zip(*rows, strict=True)) or [[]] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
@@ -198,7 +224,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     A row for each row of ``docs`` (doc_id, text, ...) and each item of
     ``benchmark`` (item_id, text, ...) it contains: agreeing windows cover
     ``COVERED`` tokens of it, or ``SHARE`` of it if that is less; slots that
-    disagree void the windows they are in and no others. Null and empty texts contain nothing and
+    disagree void the windows they are in and no others. What is the same but for
+    case always counts; with other numbers, units or names a window needs
+    ``LITERAL`` tokens besides them. Null and empty texts contain nothing and
     are nothing to find; a null item_id is reported as null, a null doc_id has
     the greatest key. Repeated rows are reported each. The benchmark is held
     in blocks of about ``block_bytes``, one map-only pass over ``docs`` for each.

@@ -140,6 +140,19 @@ def test_conflicting_slots_void_only_their_windows(spark):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(1, 1), (2, 1), (3, 2), (4, 2)}
 
 
+def test_copies_of_items_with_few_literals_are_found(spark):
+    """Windows of numbers, units and names count where they are verbatim, in any case."""
+    items = [
+        "What comes next: 2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37?", "Complete the sequence 2 3 5 7 11 13 17 19 23 29 and give the next number",
+        "why does the old stra\u00dfe on the other side of the river have no name on any map of the town",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"Some text. {f(t)} More text.") for i, t in enumerate(items) for f in (str, str.upper, str.lower, str.title)]
+    docs = spark.createDataFrame([*rows, (9, "What comes next: 3, 4, 6, 8, 12, 14, 18, 20, 24, 30, 32, 38?")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect())
+    assert got == {(0, 0): 4, (1, 1): 4, (2, 2): 4}
+
+
 def test_languages_are_told_apart_on_held_out_documents(spark, sf):
     path = f"{sf}/../sf0.01"
     got = op9_lang_id(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
