@@ -2,7 +2,8 @@
 
 Each word is labelled. Affixes, character n-grams and, for words of the training
 sample, the word itself score the labels of a word; learned transitions score
-neighbours. Forward-backward gives the posterior of each word's label, whose
+neighbours. Runs without white space of more than ``PIECE`` bytes are cut into
+consecutive pieces, each a word of its own. Forward-backward gives the posterior of each word's label, whose
 mean over a text's words is the text's distribution of languages.
 
 The model is fitted on the driver to a bounded sample of labelled texts; there
@@ -29,16 +30,30 @@ TEXTS, LABELS, SEGMENT_CHARS = 300, 48, 6_000
 CHAINS, CHAIN, SLOTS, PASSES = 1_000, 60, 1 << 16, 30
 #: Words a worker remembers, and words labelled at a time.
 REMEMBERED, AT_ONCE = 400_000, 1_000_000
+#: Bytes of a word; what is longer is labelled piece by piece.
+PIECE = 48
 UNKNOWN = "und"
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """``word`` in consecutive pieces of at most ``PIECE`` bytes, cut between characters."""
+    out, at = [], 0
+    while len(word) - at > PIECE:
+        end = at + PIECE
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
 def features(word: str, listed: set[str] | None = None) -> list[int]:
     """Slots of a lower-cased word's features: affixes, n-grams with boundaries, and itself if listed."""
     core = word.strip("\"'.,;:!?()[]{}|*#$%&<>")
     raw = core.encode()
     seen = [b"p" + raw[:1], b"p" + raw[:2], b"p" + raw[:3], b"s" + raw[-1:], b"s" + raw[-2:], b"s" + raw[-3:], b"s" + raw[-4:]]
     bound = b"^" + raw + b"$"
-    seen += [bound[i : i + 3] for i in range(min(len(bound) - 2, 12))]
+    seen += [bound[i : i + 3] for i in range(len(bound) - 2)]
     if listed is None or core in listed:
         seen.append(b"w" + raw)
     crc = zlib.crc32
@@ -88,7 +103,8 @@ def fit(texts: Sequence[str], langs: Sequence[str], seed: int = 7) -> Model:
     runs = []
     for text, lang in zip(texts, langs, strict=True):
         at = int(rng.integers(0, max(1, len(text) - SEGMENT_CHARS + 1)))
-        words = [w for w in text[at : at + SEGMENT_CHARS].lower().split() if any(c.isalpha() for c in w)]
+        words = [p.decode() for w in text[at : at + SEGMENT_CHARS].lower().split() for p in pieces(w.encode())]
+        words = [w for w in words if any(c.isalpha() for c in w)]
         for w in words:
             count[w] = count.get(w, 0) + 1
         if words:
@@ -177,10 +193,10 @@ def _label(shared, columns: list[str]):
         step = np.exp(model.moves).astype(np.float32) if k else None
         number = _Numbers()
         table = np.zeros((1, k), np.float32)
-        lettered = np.zeros(1, bool)
+        lettered, long = np.zeros(1, bool), np.zeros(1, bool)
 
         def looked_up(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal table, lettered
+            nonlocal table, lettered, long
             if len(number) > REMEMBERED:
                 number.clear()
             ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
@@ -188,12 +204,17 @@ def _label(shared, columns: list[str]):
                 if len(number) > len(table):
                     more = max(len(table), len(number) - len(table))
                     table = np.concatenate([table, np.zeros((more, k), np.float32)])
-                    lettered = np.concatenate([lettered, np.zeros(more, bool)])
+                    lettered, long = (np.concatenate([x, np.zeros(more, bool)]) for x in (lettered, long))
                 for i, w in enumerate(number.new, len(number) - len(number.new)):
+                    long[i] = len(w) > PIECE
+                    if long[i]:
+                        continue
                     text = w.decode(errors="replace").lower()
                     lettered[i] = text.isalpha() or any(c.isalpha() for c in text)
                     table[i] = model.scores(text) if lettered[i] else 0
                 number.new.clear()
+            if long[ids].any():
+                return looked_up([p for w in words for p in pieces(w)])
             return table[ids], lettered[ids]
 
         def solve(batch: list[tuple[int, np.ndarray, np.ndarray]], share: np.ndarray) -> None:
@@ -245,7 +266,8 @@ def _label(shared, columns: list[str]):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` (text, ...) with lang_pred and score.
 
-    The whole text is labelled. A null text, one without a letter and, if the
+    The whole text is labelled; of a run without white space each piece of ``PIECE`` bytes
+    counts as a word. A null text, one without a letter and, if the
     model has no labels, every text gets `und` with score 0. Columns named
     lang_pred or score give way to the new ones; repeated rows stay.
     """

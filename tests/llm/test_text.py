@@ -177,6 +177,20 @@ def test_code_switched_text(spark, lang_model):
     assert got[2].score > 0.95 and got[3].score == 0
 
 
+def test_runs_without_spaces_are_labelled_whole(spark, lang_model):
+    """A switch inside a run is seen, wherever it is; pieces are cut between characters."""
+    from clusterloom.llm.lang_id import PIECE, features, pieces
+
+    for word in ("\u65e5\u672c\u8a9e\U0001f600" * 40, "ab" * 24, "x" * 49, "\u00fc" * 100):
+        got = pieces(word.encode())
+        assert b"".join(got) == word.encode() and all(0 < len(p) <= PIECE and p.decode() for p in got)
+    assert features("abcdefghijklmnop-x") != features("abcdefghijklm-nopx")
+    en, de = "thecatsatonthematwiththatotherthingandthis", "derhundunddiekatzesindnichtaufdemdachoderich"
+    docs = spark.createDataFrame([(1, en + de * 9), (2, de + en * 9), (3, en * 5 + de * 5)], "doc_id long, text string")
+    got = {r.doc_id: r for r in identify(docs, fit([en, en * 3] * 5 + [de, de * 3] * 5, ["en"] * 10 + ["de"] * 10)).collect()}
+    assert got[1].lang_pred == "de" and got[2].lang_pred == "en" and got[3].score < 0.8
+
+
 def test_forward_backward_is_exact():
     import itertools
 
