@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import binary, key_of, matching, mix, windows
+from clusterloom.llm.words import binary, key_of, mix, row_key, windows, without
 
 #: Template tokens in a window; of these, those that must not be placeholders.
 WINDOW, LITERAL = 8, 4
@@ -218,7 +218,7 @@ def _search(shared):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
     """(doc_id, key, item_id, item_tokens, matched, reparameterised): the benchmark items in the rows of ``docs``.
 
     A row for each row of ``docs`` (doc_id, text, ...) and each item of
@@ -228,11 +228,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     case always counts; with other numbers, units or names a window needs
     ``LITERAL`` tokens besides them. Null and empty texts contain nothing and
     are nothing to find; a null item_id is reported as null, a null doc_id has
-    the greatest key. Repeated rows are reported each. The benchmark is held
+    the greatest key (``key`` puts another in its place). Repeated rows are reported each. The benchmark is held
     in blocks of about ``block_bytes``, one map-only pass over ``docs`` for each.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (key_of() if key is None else key).alias("key"), "text")
     items = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // block_bytes) or 1
@@ -251,6 +251,6 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a benchmark item in one of its texts; columns as they were."""
-    gone = contaminated(docs, benchmark).select(F.col("key").alias("_gone")).distinct()
-    return matching(docs, gone, "left_anti")
+    """``docs`` without the rows whose text has a benchmark item, whatever other rows of the doc_id hold; columns as they were."""
+    gone = contaminated(docs, benchmark, key=row_key(docs)).select(F.col("key").alias("_gone")).distinct()
+    return without(docs, gone)

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import LAST, WordHashes, binary, key_of, matching, mix, signed, windows
+from clusterloom.llm.words import LAST, WordHashes, binary, key_of, matching, mix, row_key, signed, windows, without
 from clusterloom.plans.components import connected_components
 from clusterloom.plans.runtime import cut, rekeyed
 
@@ -238,7 +238,7 @@ def _confirm(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE, key: Column | None = None) -> DataFrame:
     """(doc_id, key, n_shingles, component) for every row of ``docs`` (doc_id, text, ...).
 
     Words are runs of `[^\\x20\\x09-\\x0D]` after lower-casing A-Z. Documents are
@@ -246,10 +246,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE)
     (``threshold`` in whole hundredths); ``component`` is the least key that links
     lead to. A null text or one without words has the empty set and no link.
     A null doc_id has the greatest key. Rows that share a doc_id are one
-    document with several texts: a link of one is a link of all. Other columns are
+    document with several texts: a link of one is a link of all; ``key`` (whole
+    numbers) tells documents apart in place of doc_id. Other columns are
     ignored, an empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), key_of().alias("key"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (key_of() if key is None else key).alias("key"))
     profiles = cut(base.mapInArrow(_profile(k), "doc_id long, key long, n long, s1 long, s2 long, level int, bands array<long>, near binary, far binary"))
 
     filled = profiles.where("n > 0")
@@ -314,3 +315,16 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     dropped = near_duplicates(docs, threshold).where("key <> component").select(F.col("key").alias("_gone")).distinct()
     return matching(docs, dropped, "left_anti")
+
+
+def keep_one_text(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` without the rows whose text hangs on another row's; columns as they were.
+
+    Each row is judged on its own text, also those without a doc_id and those
+    that share one. The row of the least doc_id stays, null last. Only rows that
+    agree in doc_id and text share one fate.
+    """
+    rows = cut(near_duplicates(docs, threshold, key=row_key(docs)).select(key_of().alias("id"), "key", "component"))
+    stays = rows.groupBy("component").agg(F.min(F.struct("id", "key"))["key"].alias("stays")).select("stays")
+    gone = rows.select("key").distinct().join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias("_gone"))
+    return without(docs, gone)

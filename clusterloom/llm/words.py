@@ -25,6 +25,16 @@ def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return docs.join(keys, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == keys[keys.columns[0]], how)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A key of each row of ``docs``: a hash of doc_id and text. Only rows that agree in both share it."""
+    return F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"].cast("long"), docs["text"].isNull(), docs["text"])
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` isn't in ``keys`` (one column), whatever else ``docs`` has."""
+    return docs.join(keys, row_key(docs) == keys[keys.columns[0]], "left_anti")
+
+
 #: What separates words (fixed values).
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clusterloom.llm.decontam import clean
 from clusterloom.llm.lang_id import confident
 from clusterloom.llm.mixing import mixed
-from clusterloom.llm.near_dedup import keep_one
+from clusterloom.llm.near_dedup import keep_one_text
 from clusterloom.llm.sharding import shard
 
 
@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five words, similarity 0.8) stays."""
-    return keep_one(docs, 0.8)
+    return keep_one_text(docs, 0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,18 @@ def test_stages_take_odd_tables(spark, sf, kind, tmp_path, request):
             assert 0 < out.count() <= docs.count()
 
 
+def test_rows_without_an_id_of_their_own_are_judged_on_their_own_text(spark, tmp_path):
+    item, other, third, fourth = (" ".join(f"{w}{i}" for i in range(40)) for w in ("item", "other", "third", "fourth"))
+    rows = [(1, other), (None, other + " end"), (None, third), (None, item), (None, None), (2, fourth), (2, item), (2, other), (0, fourth + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda df: sorted(((r.doc_id or -1, r.text or "") for r in df.collect()))
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left(near) == left(spark.createDataFrame([(1, other), (None, third), (2, item), (None, None), (0, fourth + " end")], docs.schema))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left(clean) == left(spark.createDataFrame([r for r in rows if r[1] != item], docs.schema))
+
+
 def test_hashes_don_t_depend_on_place_or_pieces(monkeypatch):
     import clusterloom.llm.words as w
 
