@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +13,19 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session names it. Only where it is unset
-    (tests, one machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` of the session names it. Only where it is unset and
+    the session is local (tests, one machine) a temporary folder takes its
+    place, which goes when the driver ends; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="loom-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
@@ -27,16 +36,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and keeps it in the shared folder, where the loss of executors doesn't reach it.
 
-    Shuffle files that led to it are dropped at once, as nothing reads them after that.
+    Shuffle files that led to it are dropped at once, as nothing reads them
+    after that; the first cut turns this on for the session, once, unless
+    ``spark.loom.keepShuffleFiles`` is set. What is kept goes with its DataFrame if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if spark.conf.get(_CLEANUP, None) != "true" and not spark.conf.get("spark.loom.keepShuffleFiles", ""):
+        spark.conf.set(_CLEANUP, "true")
+    return df.select("*").checkpoint(eager=True)
 
 
 def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
