@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
 Texts are compared without their whitespace. Sampled splitters deal the rows
-into ranges of (start of the normalised text, content hash, doc_id); each range
+into ranges of (start of the normalised text, content hash, doc_id, tie); each range
 is sorted externally, so that equal texts are adjacent, and every row is
-compared in full with its predecessor. The doc_id in the splitters lets a group
+compared in full with its predecessor. The doc_id in the splitters, and for rows
+that share or lack one a tie that differs from row to row, lets a group
 of copies that holds much of the table span many ranges; its runs are stitched
 where a range ends and the next begins, which concerns at most two runs a range.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import LAST, key_of
+from clusterloom.llm.words import id_of, key_of
 from clusterloom.plans.runtime import cut
 
 #: Characters of the normalised text that splitters compare; what they leave equal the hash and the doc_id divide.
@@ -28,7 +29,7 @@ def normalised(text: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     norm = normalised(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("key"), norm.alias("norm"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
     return rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("h", F.xxhash64("norm"))
 
 
@@ -39,8 +40,8 @@ def _splitters(docs: DataFrame, ranges: int) -> list:
     """
     rows, wanted = docs.count(), max(SAMPLED, 4 * ranges)
     some = docs.where(F.rand(11) < wanted / rows) if rows > wanted else docs
-    sample = _keyed(some).select("head", "h", "key").limit(2 * wanted).collect()
-    sample = sorted((r["head"].encode(), r["head"], r["h"], r["key"]) for r in sample)
+    sample = _keyed(some).select("head", "h", "key", "tie").limit(2 * wanted).collect()
+    sample = sorted((r["head"].encode(), r["head"], r["h"], r["key"], r["tie"]) for r in sample)
     step = len(sample) / ranges
     return [sample[int(i * step)][1:] for i in range(1, ranges)] if len(sample) >= ranges else [x[1:] for x in sample[1:]]
 
@@ -59,17 +60,17 @@ def exact_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or min(RANGES, 4 * partitions)
     splits = _splitters(docs, ranges)
-    table = F.array(*(F.struct(F.lit(a).alias("head"), F.lit(b).cast("long").alias("h"), F.lit(c).cast("long").alias("key")) for a, b, c in splits)) if splits else None
+    table = F.array(*(F.struct(F.lit(a).alias("head"), F.lit(b).cast("long").alias("h"), F.lit(c).cast("long").alias("key"), F.lit(d).cast("long").alias("tie")) for a, b, c, d in splits)) if splits else None
     if table is None:
         placed = keyed.withColumn("range", F.lit(0))
     else:
-        mine = F.struct("head", "h", "key")
+        mine = F.struct("head", "h", "key", "tie")
         steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
         search = F.aggregate(
             F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(splits)) & (F.try_element_at(table, at + step) <= mine), at + step).otherwise(at)
         )
         placed = keyed.withColumn("range", search)
-    order = Window.partitionBy("range").orderBy("head", "h", "norm", "key")
+    order = Window.partitionBy("range").orderBy("head", "h", "norm", "key", "tie")
     same = F.lag("norm").over(order).eqNullSafe(F.col("norm"))
     runs = placed.select("doc_id", "key", "length", "range", F.sha2("norm", 256).alias("text_sha256"), same.alias("same"), F.row_number().over(order).alias("place"))
     by_place = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,7 +95,7 @@ def exact_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     out = joined.withColumn("winner", winner)
     return out.select(
         "doc_id",
-        F.nullif(F.col("winner.key"), F.lit(LAST)).alias("keep_id"),
+        id_of(F.col("winner.key")).alias("keep_id"),
         F.coalesce("all_size", "size").alias("group_size"),
         ((F.col("winner.range") == F.col("range")) & (F.col("winner.place") == F.col("place"))).alias("kept"),
         "text_sha256",

@@ -7,10 +7,14 @@ the MinHash sample of a set (all of it up to ``SAMPLE`` shingles, else those
 whose hash lies under a power of two that its size fixes) is folded into a
 bitmap of parities. XOR of two bitmaps is the bitmap of the symmetric
 difference, and its population count estimates that difference most precisely
-where sets are nearly equal. No pair is emitted for being in one bucket: a
-block gives the forest of its best estimates first; these are confirmed on full
-sets and joined into components, and only pairs that the estimate can't rule
-out *between* components are confirmed after that. Every accepted link is
+where sets are nearly equal. No pair is emitted for being in one bucket. First
+each block of a bucket is compared in itself, which takes time in proportion to
+the bucket, and gives the forest of its best estimates; these are confirmed on
+full sets and joined into components. As every band deals a family into other
+blocks, what is linked is one component by then. Only buckets that hold several
+components are looked at again: their largest component against the other
+rows, and these among each other, never the largest within itself; all pairs of different
+components that the estimate can't rule out are confirmed. Every accepted link is
 confirmed on full sets, and no link of different components that met in a
 bucket remains untried.
 
@@ -20,6 +24,7 @@ with 6e-7. Estimates rule out pairs only ``SIGMAS`` deviations off.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import LAST, WordHashes, binary, key_of, matching, mix, row_key, signed, windows, without
+from clusterloom.llm.words import WordHashes, binary, id_of, key_of, mix, only_once, row_key, signed, windows, without
 from clusterloom.plans.components import connected_components
 from clusterloom.plans.runtime import cut, rekeyed
 
@@ -87,8 +92,8 @@ def _profile(k: int):
                     got = (0, 0, 0, 0, None, None, None)
                 else:
                     level = level_of(len(s))
-                    s1 = int(signed(np.add.reduce(s, keepdims=True))[0])
-                    s2 = int(signed(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True))[0])
+                    #: of the whole sorted set, so that sets are equal if their digests are
+                    s1, s2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
                     got = (len(s), s1, s2, level, signed(minhash(s)), odd_sketch(s, level).tobytes(), odd_sketch(s, level + 1).tobytes())
                 for column, value in zip(rows, got, strict=True):
                     column.append(value)
@@ -129,7 +134,8 @@ def _estimates(left: dict, right: dict, threshold: float) -> np.ndarray:
             diff = -BITS / 2 * np.log1p(-2 * odd / BITS)
             #: the largest symmetric difference that a link may have, and what its estimate may stray by
             most = total * (1 - threshold) / (1 + threshold) * rate
-            stray = SIGMAS * np.sqrt(np.where(level > 0, most * (1 - rate), 0.0) + most * most / BITS + 0.05) + 1
+            odds = BITS / 4 * np.expm1(4 * most / BITS) - most
+            stray = SIGMAS * np.sqrt(np.where(level > 0, most * (1 - rate), 0.0) + odds + 0.05) + 1
             est = (total - diff / rate) / (total + diff / rate)
             out[r, c] = np.where(diff <= most + stray, est, -1.0)
     return out
@@ -245,12 +251,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE,
     linked if 100 * intersection >= 100 * threshold * union of their sets
     (``threshold`` in whole hundredths); ``component`` is the least key that links
     lead to. A null text or one without words has the empty set and no link.
-    A null doc_id has the greatest key. Rows that share a doc_id are one
+    Documents without a doc_id come last, each text is one of its own. Rows that share a doc_id are one
     document with several texts: a link of one is a link of all; ``key`` (whole
     numbers) tells documents apart in place of doc_id. Other columns are
     ignored, an empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (key_of() if key is None else key).alias("key"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (key_of(docs) if key is None else key).alias("key"))
     profiles = cut(base.mapInArrow(_profile(k), "doc_id long, key long, n long, s1 long, s2 long, level int, bands array<long>, near binary, far binary"))
 
     filled = profiles.where("n > 0")
@@ -269,62 +275,87 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, k: int = SHINGLE,
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    seats = cut(member.join(buckets, "bucket").select("key", "bucket", "blocks").withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")))
+    seats = cut(member.join(buckets, "bucket").select("key", "bucket", "blocks"))
     met = seats.select("key").distinct()
     sets = cut(base.select("key", "text").join(met.hint("shuffle_hash"), "key", "left_semi").mapInArrow(_sets(k), "key long, members binary").where("length(members) > 0").distinct())
-
-    def candidates(component: DataFrame | None, forest: bool) -> DataFrame:
-        own = classes.select("key", "n", "level", "near", "far")
-        at = seats
-        if component is not None:
-            at = at.join(component, at["key"] == component["node"], "left").select(at["*"], F.coalesce("component", "key").alias("component"))
-            #: where all members are in one component, nothing is left to find
-            open_ = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            at = at.join(rekeyed(open_, "bucket"), "bucket", "left_semi")
-        else:
-            #: no links yet: every class is a component of its own
-            at = at.withColumn("component", F.col("key"))
-        spread = at.join(own, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "key", "n", "level", "component", "near", "far")
-        dealt = spread.repartition(F.col("bucket"), F.col("bi"), F.col("bj")).sortWithinPartitions("bucket", "bi", "bj")
-        return dealt.mapInArrow(_compare(threshold, forest), "a long, b long").distinct()
+    own = classes.select("key", "n", "level", "near", "far")
+
+    def dealt(rows: DataFrame, kept: bool) -> DataFrame:
+        """Candidate pairs of ``rows`` (key, bucket, component, block, bi, bj)."""
+        spread = rows.join(own, "key").select("bucket", "bi", "bj", "block", "key", "n", "level", "component", "near", "far")
+        spread = spread.repartition(F.col("bucket"), F.col("bi"), F.col("bj")).sortWithinPartitions("bucket", "bi", "bj")
+        return spread.mapInArrow(_compare(threshold, kept), "a long, b long").distinct()
+
+    def place(blocks: str) -> Column:
+        """The block of a row, another one in each band."""
+        return F.pmod(F.xxhash64("key", "bucket"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
+
+    def within() -> DataFrame:
+        """Blocks in themselves; no links yet, so every class is a component."""
+        at = seats.withColumn("component", F.col("key")).withColumn("block", place("blocks"))
+        return dealt(at.withColumns({"bi": F.col("block"), "bj": F.col("block")}), True)
+
+    def across(component: DataFrame) -> DataFrame:
+        """Blocks of rows outside a bucket's largest component, with each other and with that component's blocks."""
+        at = seats.join(component, seats["key"] == component["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+        parts = at.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
+        #: ties are broken, as a stage that is run again must deal rows as before
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("x"), F.sum("rows").alias("rows"), F.count("*").alias("parts")).where("parts > 1")
+        largest = largest.select("bucket", F.col("x.component").alias("most"), F.col("x.rows").alias("in_most"), "rows")
+        sides = largest.select("bucket", "most", F.ceil(F.col("in_most") / BLOCK).cast("int").alias("there"), F.ceil((F.col("rows") - F.col("in_most")) / BLOCK).cast("int").alias("here"))
+        at = at.join(rekeyed(sides, "bucket"), "bucket")
+        inside = F.col("component") == F.col("most")
+        #: blocks of the largest component count down from -1
+        at = at.withColumn("block", F.when(inside, -1 - place("there")).otherwise(place("here")))
+        others = F.sequence(F.when(inside, 0).otherwise(-F.col("there")), F.col("here") - 1)
+        at = at.withColumn("other", F.explode(others))
+        return dealt(at.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}), False)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("key").alias("a"), F.col("members").alias("left"))
         right = sets.select(F.col("key").alias("b"), F.col("members").alias("right"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm(threshold), "u long, v long").distinct()
 
-    first = cut(candidates(None, True))
+    first = cut(within())
     links = cut(confirmed(first).union(copies.distinct()))
     component = connected_components(links)
-    rest = candidates(component, False).join(first, ["a", "b"], "left_anti")
+    rest = across(component).join(first, ["a", "b"], "left_anti")
     component = connected_components(links.union(confirmed(rest)))
     return profiles.join(component, profiles["key"] == component["node"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = near_duplicates(docs, 0.85).withColumn("component_id", F.nullif(F.col("component"), F.lit(LAST)))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = near_duplicates(docs, 0.85)
+    return out.select("doc_id", "n_shingles", id_of("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose document hangs on another; columns as they were.
-
-    Of rows that share the doc_id of a component's least document all stay.
-    """
-    dropped = near_duplicates(docs, threshold).where("key <> component").select(F.col("key").alias("_gone")).distinct()
-    return matching(docs, dropped, "left_anti")
-
-
-def keep_one_text(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose text hangs on another row's; columns as they were.
+    """``docs`` with one row of each group of near-copies; columns as they were.
 
     Each row is judged on its own text, also those without a doc_id and those
-    that share one. The row of the least doc_id stays, null last. Only rows that
-    agree in doc_id and text share one fate.
+    that share one. The row of the least doc_id stays, null last. Of rows that
+    agree in doc_id and text one stays, whatever else they hold, unless they have no words:
+    rows without words are no copies and all stay.
     """
-    rows = cut(near_duplicates(docs, threshold, key=row_key(docs)).select(key_of().alias("id"), "key", "component"))
+    rows = cut(near_duplicates(docs, threshold, key=row_key(docs)).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "key", "n_shingles", "component"))
     stays = rows.groupBy("component").agg(F.min(F.struct("id", "key"))["key"].alias("stays")).select("stays")
-    gone = rows.select("key").distinct().join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias("_gone"))
-    return without(docs, gone)
+    each = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    gone = each.join(stays, F.col("key") == F.col("stays"), "left_anti").select(F.col("key").alias("_gone"))
+    left = without(docs, gone)
+    return only_once(left, each.where("rows > 1 and n > 0").select(F.col("key").alias("_once")))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w
+), e AS MATERIALIZED (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
+pairs AS MATERIALIZED (
+  SELECT p.doc_id AS u, q.doc_id AS v FROM e p JOIN e q ON p.x = q.x AND p.doc_id < q.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))
+), both_ways AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach AS (SELECT doc_id, doc_id AS top FROM s UNION SELECT v, top FROM reach JOIN both_ways ON doc_id = u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT doc_id, min(top) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""

@@ -9,20 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a null doc_id counts as in orders: it comes after all others.
-LAST = 2**63 - 1
+#: Documents without an id are ordered by a hash of their text, from here to the greatest whole number.
+NAMELESS = 2**63 - 2**61
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def key_of(column: str = "doc_id") -> Column:
-    """A total order of documents: by doc_id, null last."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(LAST))
+def key_of(docs: DataFrame) -> Column:
+    """A total order of documents: by doc_id; those without one come last, each text for itself.
+
+    Every doc_id below ``NAMELESS`` comes before them. Rows without an id share a key only if their texts are equal.
+    """
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1) - F.xxhash64(docs["text"]).bitwiseAND(2**61 - 1))
 
 
-def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose key is (left_semi) or isn't (left_anti) in ``keys`` (one column), whatever else ``docs`` has."""
-    return docs.join(keys, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == keys[keys.columns[0]], how)
+def id_of(key: str | Column) -> Column:
+    """The doc_id that a key stands for, null for a document without one."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key < NAMELESS, key)
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -35,6 +39,14 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(keys, row_key(docs) == keys[keys.columns[0]], "left_anti")
 
 
+def only_once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with one row, any of them, for each ``row_key`` in ``keys`` (one column); all other rows as they are."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    listed = docs.select(row_key(docs).alias("_key"), F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("_row"))
+    one = listed.join(keys, listed["_key"] == keys[keys.columns[0]], "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    return without(docs, keys).toDF(*names).unionByName(one).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+
+
 #: What separates words (fixed values).
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
