@@ -1,20 +1,26 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
-Four patterns give the base spans. The model adds spans that the patterns miss,
-such as telephone numbers without a country code. It looks at runs of
-neighbouring words that have a digit or an at sign, scores whole segments of up
+Four patterns give the base spans. The model adds spans that the patterns miss:
+telephone numbers without a country code or run into what follows them, cards with other
+separators, bracketed at signs and dots. It looks at runs of
+neighbouring words that have a digit, an at sign or a bracketed one, scores whole segments of up
 to ``LONGEST`` words by features of the segment as a whole (counts and groups of
-digits, shape, checksum, the word before it) and chooses boundaries and types
-together by dynamic programming over segments. A segment is added if its
-posterior is at least ``SURE`` and it touches no base span.
-
-The model is fitted on the driver to runs of a bounded sample of texts, labelled
-by the patterns, and to rewritten variants of what they match.
+digits, shape, checksum, the word before it) and chooses boundaries and types of a run
+together: the best path through all segmentations, by dynamic programming over
+segments of bounded length. Base spans are fixed: no segment touches one.
+
+The model is fitted on the driver to weak labels that the patterns don't give: spans
+they match in a bounded sample of texts are rewritten as people write them otherwise (without
+plus sign or country code, with other separators, brackets, another number behind them)
+and put back into their own context and behind cue words. Numbers of other kinds in the same
+contexts are outside. A run of a real text teaches only what the patterns match in it or, where they match
+nothing and nothing has the form of such a rewriting, that it is outside.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,8 +34,10 @@ from clusterloom.llm.words import key_of
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Words of a segment at most; texts sampled to fit on; posterior from which a segment counts.
-LONGEST, TEXTS, SURE = 4, 4_000, 0.95
+#: Words of a segment and characters of a span at most (an address has 64 before and 255 behind the at sign); texts sampled to fit on.
+LONGEST, LONG, TEXTS = 6, 320, 4_000
+#: What bounds the fitting: characters of a sampled text's segment, known spans rewritten, words of a run, different runs of each source.
+SEGMENT, KNOWN, RUN_WORDS, RUNS = 20_000, 300, 16, 6_000
 SLOTS, PASSES, REMEMBERED = 1 << 12, 80, 100_000
 #: Words that announce personal data (fixed values).
 CUES = frozenset("tel phone call mobile fax cell telefon mail email e-mail contact card visa mastercard amex ip host address addr number no".split())
@@ -39,10 +47,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]")
 _SPACE = " \t\n\x0b\x0c\r"
-_AT = re.compile(r"[\[(]at[\])]")
+_AT = re.compile(r"[\[({]at[\])}]")
+_OPEN, _CLOSE = re.compile(r"[\[({](?:at|dot)[\])}]"), re.compile(r".*[\[({](?:at|dot)[\])}]", re.S)
+#: Forms of whole spans that the patterns don't have.
+_FORMS = {
+    "north": re.compile(r"(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}"),
+    "abroad": re.compile(r"(?:\+|00)[0-9]{1,3}(?:[\x20.()/-]{1,3}[0-9]{2,8}){2,5}\)?"),
+    "card": re.compile(r"[0-9]{4}([\x20./_-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}|[0-9]{4}([\x20./_-]{1,3})[0-9]{6}\2[0-9]{4,5}"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({]at[\])}])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]dot[\])}])\s?[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[\[({]dot[\])}])[0-9]{1,3}){3}"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -96,21 +112,48 @@ def written(spans: Sequence[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(cue before it, word ranges) of each maximal run of neighbouring words with a digit or an at sign."""
-    run: list[tuple[int, int]] = []
-    at, n = 0, len(text)
-    while m := _TRIGGER.search(text, at):
-        start = end = m.start()
-        while start > at and text[start - 1] not in _SPACE:
-            start -= 1
+def _marked(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit or an at sign, and the neighbours that a bracketed at sign or dot at a word's end joins to it."""
+    at, n, joined = 0, len(text), False
+    while True:
+        m = _TRIGGER.search(text, at)
+        if joined:
+            #: the last word ended with a bracket: the next one belongs to it
+            start = at
+            while start < n and text[start] in _SPACE:
+                start += 1
+        if not m and not (joined and start < n):
+            return
+        if not joined or (m and m.start() < start):
+            start = m.start()
+            while start > at and text[start - 1] not in _SPACE:
+                start -= 1
+        end = start
         while end < n and text[end] not in _SPACE:
             end += 1
+        if not joined and _OPEN.match(text, start, end):
+            before = start
+            while before > at and text[before - 1] in _SPACE:
+                before -= 1
+            first = before
+            while first > at and text[first - 1] not in _SPACE:
+                first -= 1
+            if first < before:
+                yield first, before
+        yield start, end
+        m = _CLOSE.match(text, max(start, end - 8), end)
+        joined = bool(m) and m.end() == end
+        at = end
+
+
+def runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(cue before it, word ranges) of each maximal run of neighbouring marked words."""
+    run: list[tuple[int, int]] = []
+    for start, end in _marked(text):
         if run and text[run[-1][1] : start].strip(_SPACE):
             yield _cue(text, run[0][0]), run
             run = []
         run.append((start, end))
-        at = end
     if run:
         yield _cue(text, run[0][0]), run
 
@@ -136,9 +179,43 @@ def _trimmed(piece: str) -> tuple[int, int]:
     return s, e
 
 
-def candidate(core: str) -> bool:
-    """Whether a segment can be personal data at all: enough digits, or an at sign."""
-    return "@" in core or bool(_AT.search(core)) or sum(c.isdigit() for c in core) >= 7 or core.count(".") >= 3
+def candidate(core: str) -> tuple[int, ...]:
+    """The kinds of data that a segment can be at all.
+
+    An email has something on both sides of its at sign and a dot behind it, an address four numbers up
+    to 255, a card 14 to 19 digits that pass the checksum, a telephone 7 to 15 digits and no letters.
+    """
+    if len(core) > LONG:
+        return ()
+    kinds = []
+    at = core.find("@") if "@" in core else m.start() if (m := _AT.search(core)) else -1
+    if at > 0 and ("." in core[at:] or "dot" in core[at:]):
+        kinds.append(0)
+    groups = re.findall("[0-9]+", core)
+    n = sum(map(len, groups))
+    if len(groups) == 4 and n <= 12 and all(int(g) <= 255 for g in groups):
+        kinds.append(1)
+    if 7 <= n <= 19 and not any(c.isalpha() for c in core):
+        if n >= 14 and luhn("".join(groups)):
+            kinds.append(2)
+        if n <= 15:
+            kinds.append(3)
+    return tuple(kinds)
+
+
+def form(core: str) -> str:
+    """Which of the known forms a span has, with what makes it valid."""
+    for name, pattern in _FORMS.items():
+        if pattern.fullmatch(core):
+            digits = re.sub("[^0-9]", "", core)
+            if name == "card":
+                return f"card{14 <= len(digits) <= 19 and luhn(digits)}"
+            if name == "abroad":
+                return f"abroad{10 <= len(digits) <= 15}"
+            if name == "ip":
+                return f"ip{all(int(x) <= 255 for x in re.findall('[0-9]+', core))}"
+            return name
+    return ""
 
 
 def features(core: str, words: int, cue: str) -> list[int]:
@@ -148,39 +225,66 @@ def features(core: str, words: int, cue: str) -> list[int]:
     letters = sum(c.isalpha() for c in core)
     shape = re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "9", core))
     seps = "".join(sorted(set(c for c in core if not c.isalnum())))
-    email = ("@" in core or _AT.search(core)) and letters and bool(re.fullmatch(r"[^@]+(?:@|\s?[\[(]at[\])]\s?)[^@]+\.[^@.]+", core))
     parts = core.split(".")
     dotted = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    clear = letters == 0 and not set(seps) - set("+ ().-/")
+    clear = letters == 0 and not set(seps) - set("+ ().-/_")
+    checked = 14 <= len(digits) <= 19 and clear and luhn(digits)
+    kind = form(core)
     seen = [
-        f"n{words}", f"d{min(len(digits), 20)}", f"h{shape[:24]}", f"g{groups[:6]}", f"s{seps[:8]}", f"c{cue}", f"l{letters > 0}", f"e{email}", f"i{dotted}",
-        f"k{14 <= len(digits) <= 19 and clear and luhn(digits)}", f"+{core[:1] == '+'}", f"p{clear and '(' in core}{10 <= len(digits) <= 15}", f"u{clear}{len(groups) > 1}{len(digits)}",
+        f"n{words}", f"d{min(len(digits), 20)}", f"h{shape[:24]}", f"g{groups[:6]}", f"s{seps[:8]}", f"c{cue}", f"l{letters > 0}", f"f{kind}", f"i{dotted}",
+        f"k{checked}{len(digits) >= 14}", f"+{core[:1] == '+'}", f"p{clear and '(' in core}{10 <= len(digits) <= 15}", f"u{clear}{len(groups) > 1}{len(digits)}", f"F{kind}{cue}{words}",
     ]
     return [zlib.crc32(x.encode()) & (SLOTS - 1) for x in seen]
 
 
 class Lattice:
-    """Segments of one run of words: (first word, words, core start, core end, slots) in text coordinates."""
+    """Segments of one run of words: (first word, words, core start, core end, kinds it can be, slots) in text coordinates.
 
-    def __init__(self, text: str, cue: str, words: Sequence[tuple[int, int]]) -> None:
+    ``fixed`` are base spans: what overlaps one can't be data.
+    """
+
+    def __init__(self, text: str, cue: str, words: Sequence[tuple[int, int]], fixed: Sequence[tuple[int, int]] = ()) -> None:
         self.n = len(words)
         self.segments = []
         for i in range(self.n):
             for size in range(1, min(LONGEST, self.n - i) + 1):
                 a, b = words[i][0], words[i + size - 1][1]
-                if b - a > 80 and size > 1:
+                if size > 1 and b - a > 2 * LONG:
                     break
-                piece = text[a:b]
-                s, e = _trimmed(piece)
-                core = piece[s:e] if e - s <= 120 else ""
+                s, e = _trimmed(text[a:b])
+                core = text[a + s : a + e]
                 can = candidate(core)
+                if can and any(x < a + e and a + s < y for x, y in fixed):
+                    can = ()
                 if size == 1 or can:
-                    self.segments.append((i, size, a + s, a + e, can, features(core, size, cue if i == 0 else "")))
+                    self.segments.append((i, size, a + s, a + e, can, features(core if len(core) <= LONG else "", size, cue if i == 0 else "")))
 
 
-def _log_sum(x: np.ndarray) -> float:
-    top = x.max()
-    return top + np.log(np.exp(x - top).sum()) if np.isfinite(top) else top
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def posteriors(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each segment with each label, and the logs of the partition functions.
+
+    ``score`` (run, first word, words - 1, label) holds runs of one length; -inf where a segment can't be.
+    """
+    count, n, longest, _ = score.shape
+    whole = _log_sum(score, 3)
+    alpha, beta = np.full((n + 1, count), -np.inf), np.full((n + 1, count), -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for j in range(1, n + 1):
+        alpha[j] = _log_sum(np.stack([alpha[j - z] + whole[:, j - z, z - 1] for z in range(1, min(longest, j) + 1)]), 0)
+    for i in range(n - 1, -1, -1):
+        beta[i] = _log_sum(np.stack([beta[i + z] + whole[:, i, z - 1] for z in range(1, min(longest, n - i) + 1)]), 0)
+    around = np.full((count, n, longest), -np.inf)
+    for i in range(n):
+        for z in range(1, min(longest, n - i) + 1):
+            around[:, i, z - 1] = alpha[i] + beta[i + z] - alpha[n]
+    return np.exp(np.minimum(score + around[:, :, :, None], 0)), alpha[n]
 
 
 class Model:
@@ -190,131 +294,167 @@ class Model:
         self.weights = np.zeros((SLOTS, len(KINDS) + 1))
 
     def scores(self, lattice: Lattice) -> np.ndarray:
-        out = np.array([self.weights[x[5]].sum(axis=0) for x in lattice.segments])
-        for row, (_, size, _, _, can, _) in zip(out, lattice.segments, strict=True):
-            if not can:
-                row[:OUTSIDE] = -np.inf
-            if size > 1:
-                row[OUTSIDE] = -np.inf
+        """(first word, words - 1, label); -inf where a segment or its label can't be."""
+        out = np.full((lattice.n, LONGEST, OUTSIDE + 1), -np.inf)
+        for i, size, _, _, can, slots in lattice.segments:
+            row = self.weights[slots].sum(axis=0)
+            for k in can:
+                out[i, size - 1, k] = row[k]
+            if size == 1:
+                out[i, 0, OUTSIDE] = row[OUTSIDE]
         return out
 
-    def posteriors(self, lattice: Lattice) -> tuple[np.ndarray, float]:
-        """Posterior of each segment with each label, and the log of the partition function."""
+    def best(self, lattice: Lattice) -> list[tuple[int, int, int]]:
+        """(first word, words, label) of each segment of the best path; on ties the longer last segment, then the smaller label."""
         score = self.scores(lattice)
-        whole = np.array([_log_sum(r) for r in score])
-        at_start: list[list[int]] = [[] for _ in range(lattice.n)]
-        at_end: list[list[int]] = [[] for _ in range(lattice.n + 1)]
-        for s, (i, size, *_) in enumerate(lattice.segments):
-            at_start[i].append(s)
-            at_end[i + size].append(s)
-        alpha, beta = np.zeros(lattice.n + 1), np.zeros(lattice.n + 1)
+        label = score.argmax(axis=2)
+        top = np.take_along_axis(score, label[:, :, None], axis=2)[:, :, 0]
+        value, back = [0.0], [0]
         for j in range(1, lattice.n + 1):
-            alpha[j] = _log_sum(np.array([alpha[lattice.segments[s][0]] + whole[s] for s in at_end[j]]))
-        for i in range(lattice.n - 1, -1, -1):
-            beta[i] = _log_sum(np.array([beta[i + lattice.segments[s][1]] + whole[s] for s in at_start[i]]))
-        around = np.array([alpha[i] + beta[i + size] for i, size, *_ in lattice.segments])
-        return np.exp(np.minimum(score + (around - alpha[-1])[:, None], 0)), alpha[-1]
-
-    def spans(self, text: str, cue: str, words: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the segments of the run that are sure."""
-        lattice = Lattice(text, cue, words)
+            options = [(value[j - z] + top[j - z, z - 1], z) for z in range(1, min(LONGEST, j) + 1)]
+            v, z = max(options)
+            value.append(v)
+            back.append(z)
+        path, j = [], lattice.n
+        while j:
+            path.append((j - back[j], back[j], int(label[j - back[j], back[j] - 1])))
+            j -= back[j]
+        return path[::-1]
+
+    def spans(self, text: str, cue: str, words: Sequence[tuple[int, int]], fixed: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of the data on the run's best path."""
+        lattice = Lattice(text, cue, words, fixed)
         if not any(x[4] for x in lattice.segments):
             return []
-        post, _ = self.posteriors(lattice)
-        out = []
-        for x, p in zip(lattice.segments, post, strict=True):
-            kind = int(p[:OUTSIDE].argmax())
-            if p[kind] >= SURE:
-                out.append((x[2], kind, x[3]))
-        return out
+        core = {(x[0], x[1]): (x[2], x[3]) for x in lattice.segments}
+        return [(core[i, z][0], k, core[i, z][1]) for i, z, k in self.best(lattice) if k != OUTSIDE]
 
 
-def _variants(kind: int, core: str) -> list[str]:
-    """What else the same data can look like."""
+def variants(kind: int, core: str) -> list[str]:
+    """What else the same data can look like, in forms that the patterns don't match whole."""
     digits = re.sub("[^0-9]", "", core)
     if kind == 0:
-        return [core.replace("@", "(at)"), core.replace("@", "[at]")]
+        name, _, domain = core.partition("@")
+        dotted = domain.replace(".", " (dot) ")
+        return [f"{name}(at){domain}", f"{name}[at]{domain}", f"{name} (at) {domain}", f"{name} [at] {domain}", *([f"{name} (at) {dotted}"] if dotted.count("(dot)") == 1 else []), f"{name}(at){domain.replace('.', '(dot)')}"]
     if kind == 1:
-        return []
+        return [core.replace(".", "[.]"), core.replace(".", "(.)"), core.replace(".", "(dot)")]
     if kind == 2:
-        return [digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+        four = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [s.join(four) for s in (".", "/", "  ", " - ", "_")] if len(digits) == 16 else []
     ten = digits[-10:]
-    return [f"({ten[:3]}) {ten[3:6]}-{ten[6:]}", f"{ten[:3]}-{ten[3:6]}-{ten[6:]}", f"{ten[:3]}.{ten[3:6]}.{ten[6:]}", f"+{digits[:2]} {digits[2:5]} {digits[5:]}", f"1-{ten[:3]}-{ten[3:6]}-{ten[6:]}"]
+    a, b, c = ten[:3], ten[3:6], ten[6:]
+    return [f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"00{digits[:2]} {digits[2:5]} {digits[5:]}"]
 
 
-def _strangers(rng: np.random.Generator) -> list[str]:
-    """Numbers that are no personal data: dates, versions, amounts, counters and codes."""
+def strangers(rng: np.random.Generator) -> list[str]:
+    """Numbers that are no personal data: dates, versions, amounts, counters, codes, and cards that fail the checksum."""
     n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     code = n(16)
     while luhn(code):
         code = n(16)
-    return [f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(1)}.{n(1)}", f"{n(1)}.{n(2)}.{n(1)}.{n(3)}9", f"{n(3)},{n(3)},{n(3)}", n(7), n(8), n(9), n(12), code, f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"{n(4)} {n(4)}", f"{n(3)} {n(3)} {n(3)}",
-            hashlib.sha1(code.encode()).hexdigest(), f"{n(8)}-{n(4)}-{n(4)}", f"{n(5)}-{n(4)}", f"{n(2)}:{n(2)}:{n(2)}", f"a{n(8)}", f"{n(7)}kg"]
+    four = [code[i : i + 4] for i in range(0, 16, 4)]
+    return [f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(1)}.{n(1)}", f"{n(1)}.{n(2)}.{n(1)}.{n(3)}9", f"{n(3)},{n(3)},{n(3)}", n(7), n(8), n(9), n(10), n(12), code, f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"{n(4)} {n(4)}", f"{n(3)} {n(3)} {n(3)}",
+            hashlib.sha1(code.encode()).hexdigest(), f"{n(8)}-{n(4)}-{n(4)}", f"{n(5)}-{n(4)}", f"{n(2)}:{n(2)}:{n(2)}", f"a{n(8)}", f"{n(7)}kg", " ".join(four), "-".join(four), ".".join(four), "/".join(four), f"{n(4)} {n(4)} {n(4)}", f"{n(2)}.{n(6)}", f"{n(3)}-{n(2)}-{n(4)}",
+            f"20{n(2)}-{n(2)}-{n(2)} {n(2)}:{n(2)}:{n(2)}", f"{n(2)}.{n(2)}.20{n(2)}", f"{n(5)} {n(5)}", f"no-{n(9)}", f"@{n(2)}", "[1]", f"{n(4)}-{n(4)}", f"{n(1)} {n(3)} {n(3)} {n(3)}"]
 
 
-def fit(texts: Sequence[str], seed: int = 7) -> Model:
-    """Maximum likelihood with a Gaussian prior, by Adam."""
+def weak_labels(texts: Sequence[str], seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """(text, spans) to learn from; see the top of the module."""
     rng = np.random.default_rng(seed)
     n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    gold: list[tuple[Lattice, dict[tuple[int, int], int]]] = []
-
-    def learn(text: str, spans: Sequence[tuple[int, int, int]]) -> None:
-        for cue, words in runs(text):
-            lattice = Lattice(text, cue, words)
-            if lattice.n > 12:
-                continue
-            mine = {(s, e): k for s, k, e in spans if words[0][0] <= s and e <= words[-1][1]}
-            cores = {(x[2], x[3]) for x in lattice.segments}
-            if set(mine) <= cores:
-                gold.append((lattice, mine))
-
-    known = []
+    known: list[tuple[int, str, str, str]] = []
     for text in texts:
         spans = base_spans(text)
-        ends = -1
-        clear = all((ends := e) and True for s, k, e in spans if s >= ends)
-        if clear and len(spans) == len({s for s, _, _ in spans}):
-            learn(text, spans)
-            known += [(k, text[s:e]) for s, k, e in spans]
-    picked = [known[i] for i in rng.permutation(len(known))[:300].tolist()]
+        ends = [0, *itertools.accumulate((e for _, _, e in spans), max)]
+        apart = all(s >= end for (s, _, _), end in zip(spans, ends, strict=False))
+        if not apart:
+            continue
+        for cue, words in runs(text):
+            a, b = words[0][0], words[-1][1]
+            mine = [(s, k, e) for s, k, e in spans if s < b and a < e]
+            if not mine and any(x[4] and form(text[x[2] : x[3]]) for x in Lattice(text, cue, words[: 4 * RUN_WORDS]).segments):
+                continue
+            if all(a <= s and e <= b for s, _, e in mine):
+                at = max(0, a - 24)
+                yield text[at : b + 1], [(s - at, k, e - at) for s, k, e in mine]
+        for s, k, e in spans:
+            known.append((k, text[s:e], " ".join(text[max(0, s - 40) : s].split()[-2:]), " ".join(text[e : e + 40].split()[:2])))
+    picked = [known[i] for i in rng.permutation(len(known))[:KNOWN].tolist()]
+    cues = sorted(CUES)
     for _ in range(60):
         card = n(15)
         card += next(d for d in "0123456789" if luhn(card + d))
-        picked += [(3, f"+1 ({n(3)}) {n(3)}-{n(4)}"), (0, f"user{n(2)}@mail{n(1)}.example.com"), (2, card), (1, ".".join(str(x) for x in rng.integers(1, 255, 4)))]
-    for kind, core in picked:
-        for piece in (core, *_variants(kind, core)):
-            if not any(c.isspace() for c in core) or kind != 0:
-                learn(f"word {piece} word", [(5, kind, 5 + len(piece))])
+        cue = cues[int(rng.integers(len(cues)))]
+        for kind, core in ((3, f"+1 ({n(3)}) {n(3)}-{n(4)}"), (0, f"user{n(2)}@mail{n(1)}.example.com"), (0, f"first.last@example{n(1)}.org"), (2, card), (1, ".".join(str(x) for x in rng.integers(1, 255, 4)))):
+            picked += [(kind, core, "word", "word"), (kind, core, cue, "word"), (kind, core, f"{cue}:", "")]
+    for kind, core, before, after in picked:
+        other = picked[int(rng.integers(len(picked)))]
+        for piece in (core, *variants(kind, core)):
+            if _TRIGGER.search(before) or _TRIGGER.search(after):
+                before, after = "word", "word"
+            start = len(before) + 1 if before else 0
+            lead = f"{before} " if before else ""
+            yield f"{lead}{piece} {after}", [(start, kind, start + len(piece))]
+            yield f"{lead}{piece}.", [(start, kind, start + len(piece))]
+            #: another number right behind it, as patterns run into
+            if kind != 0 and other[0] in (1, 3):
+                yield f"{lead}{piece} {other[1]} {after}", [(start, kind, start + len(piece)), (start + len(piece) + 1, other[0], start + len(piece) + 1 + len(other[1]))]
     for _ in range(120):
-        for piece in _strangers(rng):
-            learn(f"word {piece} word", [])
+        for piece in strangers(rng):
+            _, _, before, after = picked[int(rng.integers(len(picked)))]
+            if _TRIGGER.search(before) or _TRIGGER.search(after):
+                before, after = "word", "word"
+            yield f"{before} {piece} {after}", []
+
+
+def fit(texts: Sequence[str], seed: int = 7) -> Model:
+    """Maximum likelihood with a Gaussian prior, by Adam over all runs of one length at once."""
     #: equal runs once, with their number
     merged: dict = {}
-    for lattice, mine in gold:
-        key = tuple((x[0], x[1], tuple(x[5]), mine.get((x[2], x[3]))) for x in lattice.segments)
-        merged.setdefault(key, [lattice, mine, 0])[2] += 1
+    for text, spans in weak_labels(texts, seed):
+        for cue, words in runs(text):
+            if len(words) > RUN_WORDS:
+                continue
+            lattice = Lattice(text, cue, words)
+            mine = {(s, e): k for s, k, e in spans if words[0][0] <= s and e <= words[-1][1]}
+            if all(any((x[2], x[3]) == span and k in x[4] for x in lattice.segments) for span, k in mine.items()):
+                key = tuple((x[0], x[1], tuple(x[5]), mine.get((x[2], x[3]))) for x in lattice.segments)
+                merged.setdefault(key, [lattice, mine, 0])[2] += 1
+    rows = sorted(merged.values(), key=lambda x: -x[2])[:RUNS]
     model = Model()
+    by_length: dict[int, list] = {}
+    for row in rows:
+        by_length.setdefault(row[0].n, []).append(row)
+    groups = []
+    for n, some in sorted(by_length.items()):
+        shape = (len(some), n, LONGEST, OUTSIDE + 1)
+        target, allowed, weight = np.zeros(shape), np.full(shape, -np.inf), np.array([min(x[2], 20) ** 0.5 for x in some])
+        at, slots = [], []
+        for r, (lattice, mine, _) in enumerate(some):
+            inside = {w for x in lattice.segments if (x[2], x[3]) in mine for w in range(x[0], x[0] + x[1])}
+            for x in lattice.segments:
+                place = (r, x[0], x[1] - 1)
+                at.append(place)
+                slots.append(x[5])
+                for k in x[4]:
+                    allowed[*place, k] = 0
+                if x[1] == 1:
+                    allowed[*place, OUTSIDE] = 0
+                if (x[2], x[3]) in mine:
+                    target[*place, mine[x[2], x[3]]] = 1
+                elif x[1] == 1 and x[0] not in inside:
+                    target[*place, OUTSIDE] = 1
+        groups.append((target, allowed, weight, tuple(np.array(at).T), np.array(slots)))
     first, second = np.zeros_like(model.weights), np.zeros_like(model.weights)
-    rows = sorted(merged.values(), key=lambda x: -x[2])[:1500]
-    width = max(len(x[5]) for lattice, _, _ in rows for x in lattice.segments)
-    slots, grads, places = [], [], []
-    for lattice, mine, weight in rows:
-        target = np.zeros((len(lattice.segments), OUTSIDE + 1))
-        inside = {w for x in lattice.segments if (x[2], x[3]) in mine for w in range(x[0], x[0] + x[1])}
-        for s, x in enumerate(lattice.segments):
-            if (x[2], x[3]) in mine:
-                target[s, mine[x[2], x[3]]] = 1
-            elif x[1] == 1 and x[0] not in inside:
-                target[s, OUTSIDE] = 1
-        places.append((len(slots), len(lattice.segments)))
-        slots += [x[5] for x in lattice.segments]
-        grads.append((target, min(weight, 20) ** 0.5))
-    flat = np.array(slots).ravel()
     for i in range(1, PASSES + 1):
-        diff = np.zeros((len(slots), OUTSIDE + 1))
-        for (lattice, _, _), (at, size), (target, weight) in zip(rows, places, grads, strict=True):
-            diff[at : at + size] = weight * (target - model.posteriors(lattice)[0])
-        g = np.stack([np.bincount(flat, np.repeat(diff[:, k], width), SLOTS) for k in range(OUTSIDE + 1)], axis=1) - 0.02 * model.weights
+        g = -0.02 * model.weights
+        for target, allowed, weight, at, slots in groups:
+            score = allowed.copy()
+            score[at] += model.weights[slots].sum(axis=1)
+            diff = ((target - posteriors(score)[0]) * weight[:, None, None, None])[at]
+            flat, width = slots.ravel(), slots.shape[1]
+            g += np.stack([np.bincount(flat, np.repeat(diff[:, k], width), SLOTS) for k in range(OUTSIDE + 1)], axis=1)
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
         model.weights += 0.2 * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-6)
@@ -322,10 +462,11 @@ def fit(texts: Sequence[str], seed: int = 7) -> Model:
 
 
 def fit_on(docs: DataFrame, texts: int = TEXTS) -> Model:
-    """Fits on about ``texts`` texts chosen by hash, those that have a digit or an at sign; of each at most 20,000 characters."""
+    """Fits on about ``texts`` texts chosen by hash, those that have a digit or an at sign; of each a segment of ``SEGMENT`` characters from a place that the hash says."""
     share = min(1.0, texts / max(1, docs.count()))
-    dealt = F.pmod(F.xxhash64(key_of(), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.where(dealt < share).where(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, 20_000).alias("text")).limit(4 * texts).collect()
+    dealt = F.pmod(F.xxhash64(key_of(docs), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    start = F.pmod(F.xxhash64(key_of(docs), F.lit(6)), F.greatest(F.length("text") - SEGMENT, F.lit(0)) + 1) + 1
+    rows = docs.where(dealt < share).where(docs["text"].rlike("[0-9@]")).select(F.substring(docs["text"], start.cast("int"), F.lit(SEGMENT)).alias("text")).limit(4 * texts).collect()
     return fit(sorted(r["text"] for r in rows))
 
 
@@ -345,27 +486,37 @@ def _find(shared, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        seen: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
+        seen: dict[tuple, list[tuple[int, int, int]]] = {}
 
         def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+            """What the model finds beside the base spans."""
             new = []
+            covered: list[tuple[int, int]] = []
+            for s, _, e in base:
+                if covered and s < covered[-1][1]:
+                    covered[-1] = covered[-1][0], max(e, covered[-1][1])
+                else:
+                    covered.append((s, e))
+            at = 0
             for cue, words in runs(text):
-                a = words[0][0]
-                piece = text[a : words[-1][1]]
-                got = seen.get((cue, piece))
+                a, b = words[0][0], words[-1][1]
+                while at < len(covered) and covered[at][1] <= a:
+                    at += 1
+                fixed, i = [], at
+                while i < len(covered) and covered[i][0] < b:
+                    fixed.append((covered[i][0] - a, covered[i][1] - a))
+                    i += 1
+                piece = text[a:b]
+                key = cue, piece, tuple(fixed)
+                got = seen.get(key)
                 if got is None:
-                    got = model.spans(piece, cue, [(s - a, e - a) for s, e in words])
+                    got = model.spans(piece, cue, [(s - a, e - a) for s, e in words], fixed)
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     if len(piece) < 200:
-                        seen[cue, piece] = got
+                        seen[key] = got
                 new += [(s + a, k, e + a) for s, k, e in got]
-            if not (new and base):
-                return new
-            ends = sorted((s, e) for s, _, e in base)
-            starts = np.array([s for s, _ in ends])
-            reach = np.maximum.accumulate(np.array([e for _, e in ends]))
-            return [x for x in new if not (i := int(np.searchsorted(starts, x[2]))) or reach[i - 1] <= x[0]]
+            return new
 
         for batch in batches:
             rows = []
@@ -387,7 +538,7 @@ def personal_data(docs: DataFrame, model: Model, with_text: bool = False) -> Dat
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added[, redacted]) for every row of ``docs`` (doc_id, text, ...).
 
     Counts and the checksum are those of the base spans; ``spans`` also has the
-    model's. Offsets count code points. A null text counts as empty; a null
+    model's, each of at most ``LONGEST`` words and ``LONG`` characters and apart from the base spans. Offsets count code points. A null text counts as empty; a null
     doc_id stays null; rows may repeat. Other columns are ignored; an empty
     table gives an empty result.
     """
