@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.words import binary, key_of
 
-#: Sampled texts per label, labels, and the characters of a sampled text's segment: what bounds the driver's sample.
-TEXTS, LABELS, SEGMENT_CHARS = 300, 48, 6_000
-#: Training chains and their words; weights; passes.
-CHAINS, CHAIN, SLOTS, PASSES = 1_000, 60, 1 << 16, 30
+#: Sampled texts of a label, of all labels together (but at least ``FEW`` of each), and the characters of a text's sampled segment: what bounds the driver's sample.
+TEXTS, ALL_TEXTS, FEW, SEGMENT_CHARS = 300, 14_400, 20, 6_000
+#: Training chains computed at a time and their words; labels that each such portion of chains is meant for; weights; passes.
+CHAINS, CHAIN, PER_PORTION, SLOTS, PASSES = 1_000, 60, 48, 1 << 16, 30
 #: Words a worker remembers, and words labelled at a time.
 REMEMBERED, AT_ONCE = 400_000, 1_000_000
 #: Bytes of a word; what is longer is labelled piece by piece.
@@ -94,63 +94,110 @@ class Model:
         return self.weights[features(word, self.listed)].sum(axis=0)
 
 
-def fit(texts: Sequence[str], langs: Sequence[str], seed: int = 7) -> Model:
-    """Maximum likelihood with a small Gaussian prior, by Adam on all chains at once."""
+def expected(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posteriors (time, chain, label), expected transitions (label, label) and the log of the partition functions' product.
+
+    ``score`` (time, chain, label) are the words' scores of chains of one length. Only two
+    steps' joint posteriors exist at a time; they are summed over chains at once.
+    """
+    n = len(score)
+    top = score.max(axis=2, keepdims=True)
+    emit, step = np.exp(score - top), np.exp(moves)
+    alpha, log_z = np.empty_like(emit), float(top.sum())
+    for t in range(n):
+        now = emit[t] if t == 0 else (alpha[t - 1] @ step) * emit[t]
+        total = now.sum(axis=1, keepdims=True)
+        alpha[t] = now / total
+        log_z += float(np.log(total).sum())
+    post, back, joint = np.empty_like(emit), np.ones_like(emit[0]), np.zeros_like(step)
+    for t in range(n - 1, -1, -1):
+        node = alpha[t] * back
+        post[t] = node / node.sum(axis=1, keepdims=True)
+        if t:
+            after = emit[t] * back
+            before = alpha[t - 1] / ((alpha[t - 1] @ step) * after).sum(axis=1, keepdims=True)
+            joint += step * (before.T @ after)
+            back = after @ step.T
+            back /= back.sum(axis=1, keepdims=True)
+    return post, joint, log_z
+
+
+class Training:
+    """Chains of words with their labels, and the gradient of their likelihood."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, index: np.ndarray, k: int) -> None:
+        #: words (time, chain) and labels; ``index`` has each word's slots, filled up with ``SLOTS``
+        self.x, self.y, self.index, self.k = x, y, index, k
+        self.moved = np.zeros((k, k))
+        np.add.at(self.moved, (y[:-1].ravel(), y[1:].ravel()), 1)
+
+    def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradients of the log-likelihood by weights (SLOTS + 1, k) and moves, and the log-likelihood; a portion of chains at a time."""
+        by_word = np.zeros((len(self.index), self.k))
+        for column in self.index.T:
+            by_word += weights[column]
+        diff, joint, value = np.zeros_like(by_word), np.zeros_like(moves), float((self.moved * moves).sum())
+        for c in range(0, self.x.shape[1], CHAINS):
+            x, y = self.x[:, c : c + CHAINS], self.y[:, c : c + CHAINS]
+            score = by_word[x]
+            post, pairs, log_z = expected(score, moves)
+            value += float(np.take_along_axis(score, y[:, :, None], axis=2).sum()) - log_z
+            joint += pairs
+            flat, gold = x.ravel(), y.ravel()
+            for j in range(self.k):
+                diff[:, j] += np.bincount(flat, (gold == j) - post[:, :, j].ravel(), len(diff))
+        slots, width = self.index.ravel(), self.index.shape[1]
+        g = np.stack([np.bincount(slots, np.repeat(diff[:, j], width), SLOTS + 1) for j in range(self.k)], axis=1)
+        g[SLOTS] = 0
+        return g, self.moved - joint, value
+
+
+def strung(texts: Sequence[str], langs: Sequence[str], rng: np.random.Generator) -> tuple[list[str], set[str], Training | None]:
+    """Labels, listed words and training chains: runs of 5 to 49 words of one text each, labels drawn evenly."""
     labels = sorted(set(langs))
-    rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
+    place = {x: i for i, x in enumerate(labels)}
     count: dict[str, int] = {}
-    runs = []
+    by_label: list[list[list[str]]] = [[] for _ in labels]
     for text, lang in zip(texts, langs, strict=True):
-        at = int(rng.integers(0, max(1, len(text) - SEGMENT_CHARS + 1)))
-        words = [p.decode() for w in text[at : at + SEGMENT_CHARS].lower().split() for p in pieces(w.encode())]
+        words = [p.decode() for w in text.lower().split() for p in pieces(w.encode())]
         words = [w for w in words if any(c.isalpha() for c in w)]
         for w in words:
             count[w] = count.get(w, 0) + 1
         if words:
-            runs.append((np.array([number.setdefault(w, len(number)) for w in words]), labels.index(lang)))
+            by_label[place[lang]].append(words)
     listed = {w.strip("\"'.,;:!?()[]{}|*#$%&<>") for w, n in count.items() if n > 2}
-    if not runs:
-        return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0)), set())
-    k = len(labels)
-    by_label = [[r for r, y in runs if y == j] for j in range(k)]
-    present = [j for j in range(k) if by_label[j]]
-    x, y = np.empty((CHAIN, CHAINS), np.int64), np.empty((CHAIN, CHAINS), np.int64)
-    for c in range(CHAINS):
+    present = [j for j, runs in enumerate(by_label) if runs]
+    if not present:
+        return [], set(), None
+    chains = CHAINS * -(-len(labels) // PER_PORTION)
+    number: dict[str, int] = {}
+    x, y = np.empty((CHAIN, chains), np.int32), np.empty((CHAIN, chains), np.int32)
+    for c in range(chains):
         filled = 0
         while filled < CHAIN:
             j = present[int(rng.integers(len(present)))]
             run = by_label[j][int(rng.integers(len(by_label[j])))]
             n = min(CHAIN - filled, int(rng.integers(5, 50)), len(run))
             at = int(rng.integers(0, len(run) - n + 1))
-            x[filled : filled + n, c], y[filled : filled + n, c] = run[at : at + n], j
+            x[filled : filled + n, c], y[filled : filled + n, c] = [number.setdefault(w, len(number)) for w in run[at : at + n]], j
             filled += n
     slots = [features(w, listed) for w in number]
-    width = max(map(len, slots))
-    index = np.full((len(slots), width), SLOTS)
+    index = np.full((len(slots), max(map(len, slots))), SLOTS, np.int32)
     for i, f in enumerate(slots):
         index[i, : len(f)] = f
+    return labels, listed, Training(x, y, index, len(labels))
+
+
+def fit(texts: Sequence[str], langs: Sequence[str], seed: int = 7) -> Model:
+    """Maximum likelihood of weights and transitions with a small Gaussian prior, by Adam over all chains."""
+    labels, listed, training = strung(texts, langs, np.random.default_rng(seed))
+    k = len(labels)
+    if training is None:
+        return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0)), set())
     weights, moves = np.zeros((SLOTS + 1, k)), np.zeros((k, k))
-    flat, xs, ys = index.ravel(), x.ravel(), y.ravel()
-    gold = np.zeros((len(xs), k))
-    gold[np.arange(len(xs)), ys] = 1
-    gold_moves = np.zeros((k, k))
-    np.add.at(gold_moves, (y[:-1].ravel(), y[1:].ravel()), 1)
-    starts, active = list(range(0, CHAIN * CHAINS, CHAINS)), [CHAINS] * CHAIN
     first, second = [np.zeros_like(weights), np.zeros_like(moves)], [np.zeros_like(weights), np.zeros_like(moves)]
     for i in range(1, PASSES + 1):
-        score = weights[index].sum(axis=1)[xs]
-        emit = np.exp(score - score.max(axis=1, keepdims=True)) + 1e-12
-        step = np.exp(moves)
-        post = _forward_backward(emit, step, starts, active)
-        by_word = np.stack([np.bincount(xs, (gold - post)[:, j], len(slots)) for j in range(k)], axis=1)
-        g = np.stack([np.bincount(flat, np.repeat(by_word[:, j], width), SLOTS + 1) for j in range(k)], axis=1)
-        g[SLOTS] = 0
-        #: neighbours' joint posteriors, taken as the product of theirs and the step between them
-        p = post.reshape(CHAIN, CHAINS, k)
-        joint = p[:-1, :, :, None] * step * p[1:, :, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        gm = gold_moves - joint.sum(axis=(0, 1))
+        g, gm, _ = training.gradient(weights, moves)
         for j, (value, grad) in enumerate(((weights, g - 0.02 * weights), (moves, gm / CHAIN - 0.1 * moves))):
             first[j] = 0.9 * first[j] + 0.1 * grad
             second[j] = 0.99 * second[j] + 0.01 * grad * grad
@@ -158,17 +205,23 @@ def fit(texts: Sequence[str], langs: Sequence[str], seed: int = 7) -> Model:
     return Model(labels, weights[:SLOTS].astype(np.float32), moves, listed)
 
 
-def fit_on(labelled: DataFrame, texts: int = TEXTS) -> Model:
-    """Fits on at most ``texts`` texts of each of the ``LABELS`` most frequent labels, chosen by hash."""
-    sized = labelled.where("lang is not null and length(text) > 0").select("lang", "text", key_of().alias("key"))
-    counts = sized.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+def fit_on(labelled: DataFrame, texts: int = TEXTS, all_texts: int = ALL_TEXTS) -> Model:
+    """Fits on a sample of all labels: of each at most ``texts`` texts, less (but ``FEW``) where there are so many labels that they'd be more than ``all_texts``.
+
+    Texts are chosen by hash, and of each a segment of ``SEGMENT_CHARS``
+    characters from a place that the hash says. So the driver holds about 90 MB
+    of characters, beyond 720 labels 120 kB a label.
+    """
+    sized = labelled.where("lang is not null and length(text) > 0").select("lang", "text", key_of(labelled).alias("key"))
+    counts = {r["lang"]: r["count"] for r in sized.groupBy("lang").count().collect()}
     if not counts:
         return fit([], [])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, texts / r["count"]))).otherwise(share)
+    each = min(texts, max(FEW, all_texts // len(counts)))
+    share = F.create_map(*(x for lang in sorted(counts) for x in (F.lit(lang), F.lit(min(1.0, each / counts[lang])))))
     dealt = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    rows = sized.where(dealt < share).orderBy(F.xxhash64("key", F.lit(6)), "key").select("lang", F.substring("text", 1, 8 * SEGMENT_CHARS).alias("text")).limit(2 * texts * len(counts)).collect()
+    start = F.pmod(F.xxhash64("key", F.lit(6)), F.greatest(F.length("text") - SEGMENT_CHARS, F.lit(0)) + 1) + 1
+    picked = sized.where(dealt < F.element_at(share, F.col("lang"))).withColumn("text", F.substring("text", start.cast("int"), F.lit(SEGMENT_CHARS)))
+    rows = picked.orderBy(F.xxhash64("key", F.lit(7)), "key").select("lang", "text").limit(2 * each * len(counts)).collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -273,7 +326,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x LABELS weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights a label
     return docs.mapInArrow(_label(shared, docs.columns), schema)
 
 
@@ -288,10 +341,10 @@ def op9_lang_id(spark, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def confident(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def confident(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without those that have no language or whose main language has less than ``least`` of the words; columns as they were.
 
-    The model learns from the same documents as in the query.
+    So texts without a letter go, and those mixed so that no language has this share. The model learns from the same documents as in the query.
     """
     model = fit_on(docs.where(~held_out()))
     named = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_{docs.columns.index('text')}"))
