@@ -2,7 +2,9 @@
 
 Numbers, units and names become typed placeholders, so that a benchmark
 question with other parameters has the same template. Windows of template tokens
-are hash-joined with those of the benchmark. A join hit only counts if the
+are hash-joined with those of the benchmark, both as tables; a bitmap of the
+benchmark's windows, of bounded size, keeps most others out of the join. Items that a document shares
+enough windows with are compared with it in full. A hit only counts if the
 fillings agree: along one alignment of a question and a document each value of a
 slot corresponds to one value, and back, in lower case. Equal values come first,
 then the most frequent pairs; a window with a slot filled otherwise doesn't count,
@@ -25,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.words import binary, key_of, mix, row_key, windows, without
+from clusterloom.llm.words import binary, key_of, mix, row_key, signed, windows, without
+from clusterloom.plans.runtime import cut
 
 #: Template tokens in a window; of these, those that must not be placeholders.
 WINDOW, LITERAL = 8, 4
@@ -33,8 +36,10 @@ WINDOW, LITERAL = 8, 4
 COVERED, SHARE = 13, 0.8
 #: Words a worker remembers before it starts anew; bounds its memory, not its results.
 REMEMBERED = 300_000
-#: Benchmark text that one pass over the documents holds; more takes more passes.
-BLOCK_BYTES = 32_000_000
+#: The bitmap of window hashes has at most 2 ** ``BITS`` bits (16 MB); beyond that it lets more windows into the join.
+BITS = 27
+#: Sets of items whose index a worker keeps.
+INDEXES = 256
 
 #: Units of measure and words for small numbers (fixed values).
 UNITS = frozenset(
@@ -42,7 +47,12 @@ UNITS = frozenset(
     "month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters "
     "litre litres dollar dollars euro euros cent cents percent degree degrees km/h mph kmh usd eur".split()
 )
-NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen twenty thirty forty fifty hundred thousand million".split())
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty "
+    "fifty sixty seventy eighty ninety hundred thousand million billion dozen half first third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth "
+    "thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth thirtieth fortieth fiftieth sixtieth seventieth eightieth ninetieth hundredth".split()
+)
+ORDINALS = frozenset("st nd rd th".split())
 _EDGE = b"\"'`.,;:!?()[]{}<>|*#$%&_~=+-/\\"
 _NUMBER, _UNIT, _NAME, _MEASURE = (np.uint64(x << 2) for x in (3, 5, 7, 11))
 _SLOTS = np.array([_NUMBER, _UNIT, _NAME, _MEASURE])
@@ -67,8 +77,8 @@ class Tokens(dict):
         plain = value = xxhash.xxh3_64_intdigest(low) << 2 & (2**64 - 1)
         if core[:1].isdigit():
             rest = low.lstrip("0123456789.,:-/")
-            value = int(_NUMBER if not rest else _MEASURE if rest in UNITS else plain)
-        elif low in NUMBERS:
+            value = int(_NUMBER if not rest or rest in ORDINALS else _MEASURE if rest in UNITS else plain)
+        elif low in NUMBERS or ("-" in low and all(x in NUMBERS for x in low.split("-"))):
             value = int(_NUMBER)
         elif low in UNITS and (len(low) > 1 or low == text):
             value = int(_UNIT)
@@ -124,8 +134,39 @@ def conflicts(slots: dict[int, tuple[int, str, str]]) -> set[int]:
     return {x for x, (kind, a, b) in slots.items() if there.get((kind, a)) != b}
 
 
+def item_windows(words: list[bytes], known: Tokens) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Width of an item's windows, and for each form hashes and places of those with enough literal tokens and not in a form before."""
+    width, before, out = min(WINDOW, len(words)), [], []
+    for token in forms(words, known):
+        h, new = _window_hashes(token, width)
+        for x in before:
+            new &= h != x
+        before.append(h)
+        at = np.nonzero(new)[0]
+        out.append((h[at], at))
+    return width, out
+
+
+def needed(n: int) -> int:
+    """Tokens of an item of ``n`` that must be covered."""
+    return min(COVERED, math.ceil(SHARE * n))
+
+
+def document_windows(seen: list[np.ndarray], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, hashes, places) of a document's windows with enough literal tokens, those of each form that no form before has there."""
+    for width in widths:
+        before: list[np.ndarray] = []
+        for token in seen if len(seen[0]) >= width else ():
+            h, ok = _window_hashes(token, width)
+            for x in before:
+                ok &= h != x
+            before.append(h)
+            place = np.nonzero(ok)[0]
+            yield width, h[place], place
+
+
 class Index:
-    """Windows of a block of benchmark items, each in all its forms."""
+    """Windows of some benchmark items, each in all its forms."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         known = Tokens()
@@ -135,14 +176,8 @@ class Index:
             words = text.split()
             if not words:
                 continue
-            width, before = min(WINDOW, len(words)), []
-            for i, token in enumerate(forms(words, known)):
-                h, new = _window_hashes(token, width)
-                for x in before:
-                    new &= h != x
-                before.append(h)
-                pick = np.nonzero(new)[0]
-                found.append((h[pick], np.full(len(pick), len(self.ids)), np.full(len(pick), i), pick))
+            for i, (h, at) in enumerate(item_windows(words, known)[1]):
+                found.append((h, np.full(len(h), len(self.ids)), np.full(len(h), i), at))
             self.ids.append(number)
             self.words.append(words)
             self.forms.append(forms(words, known))
@@ -151,28 +186,16 @@ class Index:
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.item, self.form, self.at = self.hashes[order], self.item[order], self.form[order], self.at[order]
         self.widths = sorted({min(WINDOW, len(w)) for w in self.words})
-        #: rules out most windows before they are searched
-        self.bits = np.uint64(64 - min(24, max(12, (16 * len(self.hashes)).bit_length())))
-        self.maybe = np.zeros(1 << (64 - int(self.bits)), bool)
-        self.maybe[self.hashes >> self.bits] = True
 
     def hits(self, seen: list[np.ndarray]) -> set[tuple[int, int, int, int]]:
         """(item, its form, place in the document, place in the item) of equal windows; ``seen``: the forms of the document."""
         found = set()
-        for width in self.widths:
-            before: list[np.ndarray] = []
-            for token in seen if len(seen[0]) >= width else ():
-                h, ok = _window_hashes(token, width)
-                ok &= self.maybe[h >> self.bits]
-                for x in before:
-                    ok &= h != x
-                before.append(h)
-                place = np.nonzero(ok)[0]
-                low, high = np.searchsorted(self.hashes, h[place], "left"), np.searchsorted(self.hashes, h[place], "right")
-                for p, start, end in zip(place.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for q in range(start, end):
-                        if min(WINDOW, len(self.words[self.item[q]])) == width:
-                            found.add((int(self.item[q]), int(self.form[q]), p, int(self.at[q])))
+        for width, h, place in document_windows(seen, self.widths):
+            low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                for q in range(low[i], high[i]):
+                    if min(WINDOW, len(self.words[self.item[q]])) == width:
+                        found.add((int(self.item[q]), int(self.form[q]), int(place[i]), int(self.at[q])))
         return found
 
     def matches(self, words: list[bytes], seen: list[np.ndarray]) -> Iterator[tuple[int, int, int, bool]]:
@@ -196,53 +219,126 @@ class Index:
                     found.setdefault(item, (set(), set()))[not changed.isdisjoint(window)].update(window)
         for item, (same, other) in found.items():
             n = len(self.words[item])
-            if len(same | other) >= min(COVERED, math.ceil(SHARE * n)):
+            if len(same | other) >= needed(n):
                 yield self.ids[item], n, len(same | other), bool(other - same)
 
 
-def _search(shared):
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int64()), ("matched", pa.int64()), ("reparameterised", pa.bool_())])
+def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns or [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
+    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def _of_items():
+    """(h, item, width, times, need): the windows of each item, how often it has them, and how many of its windows a document must share."""
+    out = pa.schema([("h", pa.int64()), ("item", pa.int64()), ("width", pa.int32()), ("times", pa.int64()), ("need", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         known = Tokens()
         for batch in batches:
             rows = []
-            ids, keys = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key"))
-            for doc_id, key, text in zip(ids, keys, binary(batch, "text"), strict=True):
+            for item, text in zip(_columns(batch, "item")[0], binary(batch, "text"), strict=True):
+                words = text.split()
+                if words:
+                    width, found = item_windows(words, known)
+                    every, times = np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+                    need = -(-needed(len(words)) // width)
+                    rows += [(h, item, width, n, need) for h, n in zip(signed(every).tolist(), times.tolist(), strict=True)]
+            yield _rows(list(zip(*rows, strict=True)), out)
+
+    return run
+
+
+def _of_documents(shared, widths: list[int], bits: int):
+    """The rows that have windows in the bitmap, with the different hashes of these."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = shared.value.view(np.uint64)
+        word, bit, one = np.uint64(70 - bits), np.uint64(64 - bits), np.uint64(1)
+        known = Tokens()
+        for batch in batches:
+            rows, at = [], []
+            ids, keys = _columns(batch, "doc_id", "key")
+            for i, text in enumerate(binary(batch, "text")):
                 words = (text or b"").split()
+                found = []
+                for _, h, _ in document_windows(forms(words, known), widths):
+                    h = h[(listed[h >> word] >> (h >> bit & np.uint64(63)) & one) == one]
+                    if len(h):
+                        found.append(h)
+                if found:
+                    at.append(i)
+                    rows.append((ids[i], keys[i], signed(np.unique(np.concatenate(found)))))
+            ids, keys, found = list(zip(*rows, strict=True)) or [[]] * 3
+            texts = batch.column(batch.schema.get_field_index("text")).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), texts, pa.array(found, pa.list_(pa.int64()))], schema=out)
+
+    return run
+
+
+def _compared():
+    """The items among a row's candidates that it contains."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int64()), ("matched", pa.int64()), ("reparameterised", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kept = Tokens(), {}
+        for batch in batches:
+            rows = []
+            for doc_id, key, items, text in zip(*_columns(batch, "doc_id", "key", "items"), binary(batch, "text"), strict=True):
+                asked = tuple(sorted((x["item_id"] is None, x["item_id"] or 0, x["body"]) for x in items))
+                if (index := kept.get(asked)) is None:
+                    if len(kept) >= INDEXES:
+                        kept.clear()
+                    index = kept[asked] = Index([(None if none else n, body.encode()) for none, n, body in asked])
+                words = text.split()
                 rows += [(doc_id, key, *m) for m in index.matches(words, forms(words, known))]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            yield _rows(list(zip(*rows, strict=True)), out)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
+def bitmap(windows_: DataFrame, column: str, most: int = BITS) -> tuple[np.ndarray, int]:
+    """Bitmap of the leading bits of a column of hashes, 16 bits a row but at most 2 ** ``most``; the driver gets its words."""
+    bits = min(most, max(12, (16 * windows_.count()).bit_length()))
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    words = windows_.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # two numbers for each 64 bits at most
+    out[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    return out, bits
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: Column | None = None, bits: int = BITS) -> DataFrame:
     """(doc_id, key, item_id, item_tokens, matched, reparameterised): the benchmark items in the rows of ``docs``.
 
-    A row for each row of ``docs`` (doc_id, text, ...) and each item of
+    A row for each row of ``docs`` (doc_id, text, ...) and each different item of
     ``benchmark`` (item_id, text, ...) it contains: agreeing windows cover
     ``COVERED`` tokens of it, or ``SHARE`` of it if that is less; slots that
     disagree void the windows they are in and no others. What is the same but for
     case always counts; with other numbers, units or names a window needs
     ``LITERAL`` tokens besides them. Null and empty texts contain nothing and
-    are nothing to find; a null item_id is reported as null, a null doc_id has
-    the greatest key (``key`` puts another in its place). Repeated rows are reported each. The benchmark is held
-    in blocks of about ``block_bytes``, one map-only pass over ``docs`` for each.
+    are nothing to find; a null item_id is reported as null, a document without a doc_id has
+    a key after all others (``key`` puts another in its place). Repeated rows are reported each. Neither
+    table is collected; the driver has a bitmap of at most 2 ** ``bits`` bits. The items that one row shares enough
+    windows with meet in one task with it.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (key_of() if key is None else key).alias("key"), "text")
-    items = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes) or 1
-    out = None
-    for i in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
-        index = Index([(r["item_id"], r["text"].encode()) for r in mine.collect()])
-        found = base.mapInArrow(_search(spark.sparkContext.broadcast(index)), "doc_id long, key long, item_id long, item_tokens long, matched long, reparameterised boolean")
-        out = found if out is None else out.union(found)
-    return out
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (key_of(docs) if key is None else key).alias("key"), docs["text"].alias("text"))
+    items = benchmark.where("length(text) > 0").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "text"))
+    wanted = cut(items.select("item", "text").mapInArrow(_of_items(), "h long, item long, width int, times long, need long"))
+    listed, bits = bitmap(wanted, "h", bits)
+    widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())  # at most WINDOW
+    seen = base.mapInArrow(_of_documents(spark.sparkContext.broadcast(listed), widths, bits), "doc_id long, key long, text string, hashes array<long>")
+    rows = cut(seen.withColumn("row", F.monotonically_increasing_id()))
+    shared = rows.select("row", F.explode("hashes").alias("h")).join(wanted, "h")
+    enough = shared.groupBy("row", "item").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("row", "item")
+    asked = enough.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", F.col("text").alias("body"))).alias("items"))
+    found = rows.select("row", "doc_id", "key", "text").join(asked, "row").select("doc_id", "key", "text", "items")
+    return found.mapInArrow(_compared(), "doc_id long, key long, item_id long, item_tokens long, matched long, reparameterised boolean")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
