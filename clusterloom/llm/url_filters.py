@@ -3,7 +3,9 @@
 A rule is a regular expression over host + path with literal tokens that every
 match contains whole. Of these the rarest in the table at hand indexes the rule,
 so that a URL's tokens fetch the few rules that can fit and only those are run.
-A rule without a literal is fetched by every URL.
+A rule without a literal is fetched by every URL. Rules are a table: a short one becomes part of an
+expression, so that one map-only pass judges all URLs; a long one, of millions, is
+indexed and joined on the token without ever being collected.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.plans.runtime import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many rules the index is part of the expression, and a map-only pass judges all URLs; more are joined.
+#: Up to so many rules the index is part of the expression; more are joined.
 INLINE = 1_000
 EVERY = ""
+RULE = "name string, verdict string, pattern string, literals array<string>, rank int"
 
 
 class Rule(NamedTuple):
@@ -70,49 +73,47 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.split(F.translate(F.concat(host, path), _UPPER, _LOWER), "[^a-z0-9]+"), F.array(F.lit(EVERY))))
 
 
-def _index(pages: DataFrame, rules: Sequence[Rule]) -> dict[str, list[Rule]]:
-    """Rules by their rarest literal in ``pages``; the driver gets one count for each literal of a rule."""
-    literals = sorted({t for r in rules for t in r.literals})
-    counts: dict[str, int] = {}
-    if literals:
-        hit = pages.select(F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, literals)))).alias("token"))
-        counts = {r["token"]: r["n"] for r in hit.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        index.setdefault(min(rule.literals, key=lambda t: (counts.get(t, 0), t), default=EVERY), []).append(rule)
-    return index
+def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.literals), r.rank) for r in rules], RULE)
 
 
-def _struct(rule: Rule) -> Column:
-    return F.struct(F.lit(rule.rank).alias("rank"), F.lit(len(rule.name)).alias("length"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.name).alias("name"), F.lit(rule.pattern).alias("pattern"))
+def indexed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_token, _rule): ``rules`` by their rarest literal in ``pages`` (_tokens, ...), the first by name on ties; '' for those without a literal."""
+    literals = rules.select(F.struct("rank", F.length("name").alias("length"), "verdict", "name", "pattern").alias("_rule"), F.explode_outer("literals").alias("_token"))
+    asked = literals.where("_token is not null").select("_token").distinct()
+    counts = pages.select(F.explode("_tokens").alias("_token")).join(asked, "_token", "left_semi").groupBy("_token").agg(F.count("*").alias("n"))
+    told = literals.join(counts, "_token", "left").select("_rule", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_token", F.lit(EVERY)).alias("_token")).alias("x"))
+    return told.groupBy("_rule").agg(F.min("x").alias("x")).select("x._token", "_rule")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = tuple(RULES), inline: int = INLINE) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame = tuple(RULES), inline: int = INLINE) -> DataFrame:
     """``pages`` (url, ...) with host, path, rule, verdict and reason.
 
-    ``rule`` names the site rule that decides, ``reason`` whatever rule does; a
+    ``rules`` is a table (see ``RULE``) or a list. ``rule`` names the site rule that decides, ``reason`` whatever rule does; a
     URL that none fits is allowed. A null URL or one without `://` has an empty
-    host and path, which no rule with a host fits. Columns of these names in
+    host and path, which no rule with a host fits. Equal rules count once. Columns of these names in
     ``pages`` give way to the new ones; repeated rows stay as they are.
     """
     host, path = split_url(F.col("url"))
     pages = pages.drop("host", "path", "rule", "verdict", "reason", "_tokens", "_subject", "_best", "_all").withColumn("host", host).withColumn("path", path)
     tokens = pages.withColumn("_tokens", _tokens(F.col("host"), F.col("path")))
-    index = _index(tokens, rules)
+    table = rules if isinstance(rules, DataFrame) else rules_table(pages.sparkSession, rules)
     subject = F.concat("host", "path")
-    if len(rules) <= inline:
+    few = table.limit(inline + 1).count() <= inline
+    if few:
+        index: dict[str, list] = {}
+        for r in indexed(tokens, table).collect():  # at most ``inline``
+            index.setdefault(r["_token"], []).append(F.struct(*(F.lit(v).alias(n) for n, v in r["_rule"].asDict().items())))
         fetched = F.array().cast("array<struct<rank:int,length:int,verdict:string,name:string,pattern:string>>")
         if index:
-            table = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*map(_struct, rs)))))
+            by_token = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), F.array(*rs))))
             known = F.array(*map(F.lit, sorted(index)))
-            fetched = F.flatten(F.transform(F.array_intersect("_tokens", known), lambda t: F.element_at(table, t)))
+            fetched = F.flatten(F.transform(F.array_intersect("_tokens", known), lambda t: F.element_at(by_token, t)))
         best = F.array_max(F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"])))
         judged = tokens.withColumn("_best", best)
     else:
-        rows = F.explode(F.array(*(F.struct(F.lit(t).alias("_token"), _struct(r).alias("_rule")) for t, rs in index.items() for r in rs)))
-        table = pages.sparkSession.range(1).select(rows.alias("x")).select("x.*")
         wanted = tokens.select(subject.alias("_subject"), F.explode("_tokens").alias("_token")).distinct()
-        fits = wanted.join(table, "_token").where(F.regexp_like(F.col("_subject"), F.col("_rule.pattern"))).groupBy("_subject").agg(F.max("_rule").alias("_best"))
+        fits = wanted.join(cut(indexed(tokens, table)), "_token").where(F.regexp_like(F.col("_subject"), F.col("_rule.pattern"))).groupBy("_subject").agg(F.max("_rule").alias("_best"))
         judged = tokens.withColumn("_subject", subject).join(cut(fits), "_subject", "left").drop("_subject")
     return judged.select(
         *[c for c in pages.columns],
