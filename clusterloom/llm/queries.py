@@ -7,10 +7,10 @@ from clusterloom.llm.decontam import op7_decontaminate
 from clusterloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from clusterloom.llm.lang_id import op9_lang_id
 from clusterloom.llm.mixing import OP6_SQL, op6_mixing
-from clusterloom.llm.near_dedup import op10_near_dedup
+from clusterloom.llm.near_dedup import OP10_SQL, op10_near_dedup
 from clusterloom.llm.pii import op5_pii
-from clusterloom.llm.sharding import op8_sharding
-from clusterloom.llm.substring_dedup import op3_substring_dedup
+from clusterloom.llm.sharding import OP8_SQL, op8_sharding
+from clusterloom.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from clusterloom.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
@@ -29,6 +29,9 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op2_chat_format": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op6_mixing": OP6_SQL,
+    "op8_sharding": OP8_SQL,
+    "op10_near_dedup": OP10_SQL,
 }

@@ -6,7 +6,18 @@ import hashlib
 import re
 from collections import defaultdict
 
-LAST = 2**63 - 1
+NAMELESS = 2**63 - 2**61
+
+
+def keyed(docs) -> list[tuple[int, str]]:
+    """(key, text) of the rows; rows without a doc_id have keys beyond all others."""
+    from clusterloom.llm.words import key_of
+
+    return [tuple(r) for r in docs.select(key_of(docs), "text").collect()]
+
+
+def named(key: int) -> int | None:
+    return None if key >= NAMELESS else key
 
 
 def words(text: str | None) -> list[bytes]:
@@ -14,16 +25,16 @@ def words(text: str | None) -> list[bytes]:
 
 
 def substring(rows: list, window: int = 20) -> list[tuple]:
-    """(doc_id, n_words, n_removed, sha256); rows that share a doc_id don't precede each other."""
+    """(doc_id, n_words, n_removed, sha256) for (key, text); rows that share a key don't precede each other."""
     first: dict[tuple, int] = {}
-    for doc_id, text in rows:
-        w, key = words(text), LAST if doc_id is None else doc_id
+    for key, text in rows:
+        w = words(text)
         for i in range(len(w) - window + 1):
             x = tuple(w[i : i + window])
             first[x] = min(first.get(x, key), key)
     out = []
-    for doc_id, text in rows:
-        w, key = words(text), LAST if doc_id is None else doc_id
+    for key, text in rows:
+        w = words(text)
         gone, seen = [False] * len(w), set()
         for i in range(len(w) - window + 1):
             x = tuple(w[i : i + window])
@@ -31,7 +42,7 @@ def substring(rows: list, window: int = 20) -> list[tuple]:
                 gone[i : i + window] = [True] * window
             seen.add(x)
         kept = b" ".join(a for a, g in zip(w, gone, strict=True) if not g)
-        out.append((doc_id, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((named(key), len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -41,9 +52,8 @@ def shingle_set(text: str | None, k: int = 5) -> frozenset:
 
 
 def components(rows: list, percent: int = 85) -> list[tuple]:
-    """(doc_id, set size, component key) by comparing all pairs of different sets."""
-    key = lambda d: LAST if d is None else d
-    sets = [(key(d), shingle_set(t)) for d, t in rows]
+    """(key, set size, component key) for (key, text), by comparing all pairs of different sets."""
+    sets = [(k, shingle_set(t)) for k, t in rows]
     parent = {k: k for k, _ in sets}
 
     def top(x):
@@ -68,4 +78,67 @@ def components(rows: list, percent: int = 85) -> list[tuple]:
             both = len(a & b)
             if both and 100 * both >= percent * (len(a) + len(b) - both):
                 link(ka[0], kb[0])
-    return [(d, len(s), top(k)) for (d, _), (k, s) in zip(rows, sets, strict=True)]
+    return [(k, len(s), top(k)) for k, s in sets]
+
+
+EDGE = "\"'`.,;:!?()[]{}<>|*#$%&_~=+-/\\"
+
+
+def token_forms(text: str) -> list[list[str]]:
+    """The text's words with numbers, units and names as placeholders; without names; and as they are."""
+    from clusterloom.llm.decontam import NUMBERS, ORDINALS, UNITS
+
+    kinds, plain, names = [], [], []
+    before = "."
+    for i, word in enumerate(text.split()):
+        core = word.strip(EDGE)
+        low = core.casefold()
+        kind = low
+        if core[:1].isascii() and core[:1].isdigit():
+            rest = low.lstrip("0123456789.,:-/")
+            kind = "<number>" if not rest or rest in ORDINALS else "<measure>" if rest in UNITS else low
+        elif low in NUMBERS or ("-" in low and all(x in NUMBERS for x in low.split("-"))):
+            kind = "<number>"
+        elif low in UNITS and (len(low) > 1 or low == core):
+            kind = "<unit>"
+        name = kind == low and len(core) > 1 and core[0].isupper() and core[1:].islower()
+        names.append(name and i > 0 and before.rstrip("\"')]*")[-1:] not in (".", "!", "?", ":"))
+        kinds.append(kind)
+        plain.append(low)
+        before = word
+    return [["<name>" if n else k for n, k in zip(names, kinds, strict=True)], kinds, plain]
+
+
+def contains(text: str, item: str) -> tuple[int, bool] | None:
+    """Tokens of ``item`` that agreeing windows of ``text`` cover and whether other fillings were needed, or None if too few."""
+    mine, theirs, slots = token_forms(item), token_forms(text), {"<number>", "<unit>", "<name>", "<measure>"}
+    low, other = mine[2], theirs[2]
+    n = len(low)
+    width = min(8, n)
+    same, changed = set(), set()
+    for shift in range(-n, len(other)):
+        hits = []
+        for q in range(n - width + 1):
+            if not 0 <= q + shift <= len(other) - width:
+                continue
+            for form in mine:
+                w = form[q : q + width]
+                if sum(x not in slots for x in w) >= -(-4 * width // 8) and any(w == f[q + shift : q + shift + width] for f in theirs):
+                    hits.append((q, form))
+        held = {(x, form[x]) for q, form in hits for x in range(q, q + width) if form[x] in slots}
+        held = {x: kind for x, kind in sorted(held, key=lambda y: [f[y[0]] for f in mine].index(y[1]), reverse=True)}
+        pairs = defaultdict(int)
+        for x in sorted(held):
+            pairs[held[x], low[x], other[x + shift]] += 1
+        there, back = {}, {}
+        order = list(pairs)
+        for kind, a, b in sorted(order, key=lambda y: (y[1] != y[2], -pairs[y], order.index(y))):
+            if (kind, a) not in there and (kind, b) not in back:
+                there[kind, a], back[kind, b] = b, a
+        void = {x for x, kind in held.items() if there.get((kind, low[x])) != other[x + shift]}
+        for q, _ in hits:
+            if not void & set(range(q, q + width)):
+                (changed if any(low[x] != other[x + shift] for x in held if q <= x < q + width) else same).update(range(q, q + width))
+    if len(same | changed) < min(13, -(-8 * n // 10)):
+        return None
+    return len(same | changed), bool(changed - same)

@@ -11,7 +11,7 @@ from clusterloom.llm.near_dedup import _estimates, keep_one, level_of, near_dupl
 from clusterloom.llm.substring_dedup import remove_repeated
 from clusterloom.llm.words import WordHashes, second, windows
 
-from .brute import LAST, components, substring
+from .brute import NAMELESS, components, keyed, named, substring
 from .conftest import SCHEMA, prose
 
 
@@ -63,7 +63,7 @@ def test_substrings_of_periodic_text(spark):
 
 
 def test_substrings_of_odd_rows(odd, clashing, odd_rows, none):
-    want = Counter(substring([r[:2] for r in odd_rows]))
+    want = Counter(substring(keyed(odd)))
     for docs in (odd, clashing):
         assert Counter(tuple(r[:4]) for r in remove_repeated(docs).collect()) == want
     assert remove_repeated(none).collect() == []
@@ -95,16 +95,73 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component) for r in got) == sorted(components(rows))
 
 
-def test_near_duplicates_of_odd_rows(odd, clashing, odd_rows, none):
-    want = Counter(components([r[:2] for r in odd_rows]))
+def test_factors_are_matches_that_no_word_prolongs(spark):
+    """Each factor equals its reference word by word, and the reference's next window is not the document's."""
+    rows = copies(5)
+    text = {d: t.split() for d, t in rows}
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = {}
+    for d in sorted(text):
+        for i in range(len(text[d]) - 19):
+            first.setdefault(tuple(text[d][i : i + 20]), (d, i))
+    for r in got:
+        gone = set()
+        for factor in filter(None, r.factors.split(",")):
+            start, ref, there, n = map(int, factor.split(":"))
+            assert n >= 20 and (ref, there) < (r.doc_id, start) and text[r.doc_id][start : start + n] == text[ref][there : there + n]
+            after = tuple(text[r.doc_id][start + n - 19 : start + n + 1])
+            assert len(after) < 20 or first[after] != (ref, there + n - 19)
+            gone |= set(range(start, start + n))
+        assert len(gone) == r.n_removed
+    assert sum(r.factors != "" for r in got) > 20
+
+
+def test_rows_without_an_id_meet_in_no_one_row(spark):
+    """Passages that rows without an id or with one id share are gathered row by row."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, passage)] + [(None, f"x{i} {passage} y{i}") for i in range(50)] + [(7, f"z{i} {passage}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r[:4]) for r in remove_repeated(docs).collect()) == Counter(substring(keyed(docs)))
+
+
+def test_near_duplicates_of_odd_rows(odd, clashing, none):
+    want = Counter(components(keyed(odd)))
     for docs in (odd, clashing):
-        assert Counter((r.doc_id, r.n_shingles, r.component) for r in near_duplicates(docs).collect()) == want
+        got = near_duplicates(docs).collect()
+        assert Counter((r.key, r.n_shingles, r.component) for r in got) == want
+        assert all(r.doc_id == named(r.key) for r in got)
     assert near_duplicates(none).collect() == []
 
 
-def test_one_of_each_group_stays(odd, clashing, odd_rows):
-    comps = components([r[:2] for r in odd_rows], 80)
-    want = Counter(d for d, _, c in comps if (LAST if d is None else d) == c)
+def test_large_buckets_with_several_components(spark, monkeypatch):
+    """A linked family larger than a block, strays near it, and families in parts."""
+    import clusterloom.llm.near_dedup as m
+
+    monkeypatch.setattr(m, "BLOCK", 4)
+    rng = random.Random(21)
+    rows = []
+    for family in range(3):
+        base = prose(rng, 120).split()
+        for part in range(4):
+            own = list(base)
+            for at in range(part * 3, part * 30 + 3 * part, 2):
+                own[at % 120] = f"part{part}x{at}"
+            for _ in range(12):
+                w = list(own)
+                w[rng.randrange(len(w))] = f"v{rng.randrange(99)}"
+                rows.append((len(rows), " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component) for r in got) == sorted(want)
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+
+
+def test_one_of_each_group_stays(odd, clashing, odd_rows, spark):
+    """Rows without words all stay; of the others one of each group, and one of rows that agree in doc_id and text."""
+    texts = [(i, r[1]) for i, r in enumerate(sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    ids = [r[0] for r in sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0))]
+    comps = components(texts, 80)
+    want = Counter(ids[k] for k, _, c in comps if k == c)
     assert Counter(r.doc_id for r in keep_one(odd).collect()) == want
     kept = keep_one(clashing)
     assert kept.columns == clashing.columns and Counter(r.doc_id for r in kept.collect()) == want
@@ -135,23 +192,25 @@ def test_sketches_rule_out_no_link():
 
 
 def test_exact_groups_as_brute_force(odd, clashing, odd_rows, none, spark):
-    def plain(rows):
+    def plain(docs):
         norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
         groups = {}
-        for d, t, *_ in rows:
-            groups.setdefault(norm(t), []).append((-len(t or ""), LAST if d is None else d))
+        for k, t in keyed(docs):
+            groups.setdefault(norm(t), []).append((-len(t or ""), k))
         out = Counter()
         for n, members in groups.items():
             best = min(members)
             sha = hashlib.sha256(n.encode()).hexdigest()
             for i, (_, k) in enumerate(sorted(members)):
-                out[None if k == LAST else k, None if best[1] == LAST else best[1], len(members), i == 0, sha] += 1
+                out[named(k), named(best[1]), len(members), i == 0, sha] += 1
         return out
 
-    want = plain(odd_rows)
+    want = plain(odd)
     for docs in (odd, clashing):
         for ranges in (1, 3, 50):
             assert Counter(map(tuple, exact_groups(docs, ranges).collect())) == want
     assert exact_groups(none).collect() == []
-    many = [(i, ["same text", "sametext ", "other"][i % 3 if i % 7 else 0], None, None, None) for i in range(300)]
-    assert Counter(map(tuple, exact_groups(spark.createDataFrame(many, SCHEMA), 40).collect())) == plain(many)
+    many = [(i if i % 2 else None, ["same text", "sametext ", "other"][i % 3 if i % 7 else 0], None, None, None) for i in range(300)]
+    docs = spark.createDataFrame(many, SCHEMA)
+    assert Counter(map(tuple, exact_groups(docs, 40).collect())) == plain(docs)
+    assert NAMELESS > 2**62

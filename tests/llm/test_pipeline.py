@@ -55,7 +55,7 @@ def test_stages_take_odd_tables(spark, sf, kind, tmp_path, request):
 
 def test_rows_without_an_id_of_their_own_are_judged_on_their_own_text(spark, tmp_path):
     item, other, third, fourth = (" ".join(f"{w}{i}" for i in range(40)) for w in ("item", "other", "third", "fourth"))
-    rows = [(1, other), (None, other + " end"), (None, third), (None, item), (None, None), (2, fourth), (2, item), (2, other), (0, fourth + " end")]
+    rows = [(1, other), (None, other + " end"), (None, third), (None, third), (None, item), (None, None), (2, fourth), (2, item), (2, other), (2, item), (0, fourth + " end")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = lambda df: sorted(((r.doc_id or -1, r.text or "") for r in df.collect()))
     near = corpus_pipeline.near_dedup(spark, docs, "")
