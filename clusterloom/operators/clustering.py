@@ -46,6 +46,17 @@ def parse_phrases(raw: DataFrame, text: str = "text") -> DataFrame:
     return pieces.groupBy("phrase").agg(F.min(F.struct("ord", "pos")).alias("ord"))
 
 
+def requested_phrases(requests: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ord, phrase): phrases of requests (by..., at, body) whose JSON body has an array ``phrases``.
+
+    Only strings count, trimmed and not empty, each once for a ``by`` at its first place: ``at`` and the place in the
+    array. A body without such an array has none.
+    """
+    items = F.from_json("body", "phrases array<string>", {"mode": "PERMISSIVE"})["phrases"]
+    rows = requests.select(*by, "at", F.posexplode(items).alias("pos", "phrase")).withColumn("phrase", trim(F.col("phrase"))).where("phrase <> ''")
+    return rows.groupBy(*by, "phrase").agg(F.min(F.col("at") + F.col("pos")).alias("ord")).select(*by, "ord", "phrase")
+
+
 def cleaned(phrases: DataFrame) -> DataFrame:
     """(ord, phrase): trimmed, without empty ones and nulls, each once at its first place."""
     return ordered_distinct(phrases.withColumn("phrase", trim(F.col("phrase"))).where("phrase <> ''"), "phrase").select("ord", "phrase")

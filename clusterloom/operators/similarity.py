@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.plans.runtime import cut
+
 #: Vectors in a block of the all-pairs comparison.
 TILE = 1_024
 
@@ -47,30 +49,45 @@ def similar_pairs(sets: DataFrame, threshold: float, metric: str = "overlap", by
     is no smaller, hence one of its m - ceil(t * m) + 1 rarest; these are joined
     with all tokens of sets that are no smaller. For Jaccard the same holds for
     the larger set, so that only the rarest of both meet, and sizes may differ by
-    the threshold at most. Null and empty sets have no pair;
+    the threshold at most, and what follows their first common token must suffice. Tokens are numbered once, by
+    rarity, and only numbers are joined and compared. Null and empty sets have no pair;
     repeated ``ord`` values are different rows of one number and no pair.
     """
     keys = list(by)
-    numbered = sets.where("size(tokens) > 0").select(*keys, "ord", F.array_distinct("tokens").alias("tokens"))
-    numbered = numbered.withColumn("m", F.size("tokens"))
-    exploded = numbered.select(*keys, "ord", "m", F.explode("tokens").alias("token"))
-    often = exploded.groupBy(*keys, "token").agg(F.count("*").alias("often"))
-    ranked = exploded.join(often, [*keys, "token"]).groupBy(*keys, "ord").agg(F.max("m").alias("m"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("rare"))
+    told = cut(sets.select(*keys, "ord", F.array_distinct("tokens").alias("tokens"), F.monotonically_increasing_id().alias("row")))
+    told = told.where("size(tokens) > 0").withColumn("m", F.size("tokens"))
+    ranked = cut(_by_rarity(told, keys))
     #: 1e-9 keeps the rounding of t * m from making the prefix too short
     length = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1
-    small = ranked.select(*keys, F.col("ord").alias("i"), F.col("m").alias("mi"), F.explode(F.slice("rare", F.lit(1), length)).alias("x")).select(*keys, "i", "mi", F.col("x.token").alias("token"))
-    whole = small.select(*keys, "token", F.col("i").alias("ord"), F.col("mi").alias("m")) if metric == "jaccard" else exploded
-    large = whole.select(*keys, "token", F.col("ord").alias("j"), F.col("m").alias("mj"))
+    small = ranked.select(*keys, F.col("ord").alias("i"), F.col("row").alias("ri"), F.col("m").alias("mi"), F.posexplode(F.slice("ids", F.lit(1), length)).alias("pi", "id"))
+    other = F.slice("ids", F.lit(1), length) if metric == "jaccard" else F.col("ids")
+    large = ranked.select(*keys, F.col("ord").alias("j"), F.col("row").alias("rj"), F.col("m").alias("mj"), F.posexplode(other).alias("pj", "id"))
     fits = (F.col("mj") > F.col("mi")) | ((F.col("mj") == F.col("mi")) & (F.col("j") != F.col("i")))
+    #: tokens that can be shared from this one on; the first shared one of a similar pair leaves enough
+    rest = F.least(F.col("mi") - F.col("pi"), F.col("mj") - F.col("pj"))
     if metric == "jaccard":
-        fits = fits & (F.col("mi") >= F.col("mj") * threshold - 1e-9)
-    pairs = small.join(large, [*keys, "token"]).where(fits).select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct()
-    left = numbered.select(*keys, F.col("ord").alias("i"), F.col("tokens").alias("a"))
-    right = numbered.select(*keys, F.col("ord").alias("j"), F.col("tokens").alias("b"))
-    scored = pairs.join(left, [*keys, "i"]).join(right, [*keys, "j"])
+        fits = fits & (F.col("mi") >= F.col("mj") * threshold - 1e-9) & (rest >= (F.col("mi") + F.col("mj")) * (threshold / (1 + threshold)) - 1e-9)
+    else:
+        fits = fits & (rest >= F.col("mi") * threshold - 1e-9)
+    swap = F.col("i") > F.col("j")
+    pairs = small.join(large, [*keys, "id"]).where(fits & (F.col("i") != F.col("j")))
+    pairs = pairs.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(swap, F.col("rj")).otherwise(F.col("ri")).alias("ri"), F.when(swap, F.col("ri")).otherwise(F.col("rj")).alias("rj")).distinct()
+    left, right = ranked.select(F.col("row").alias("ri"), F.col("ids").alias("a")), ranked.select(F.col("row").alias("rj"), F.col("ids").alias("b"))
+    scored = pairs.join(left, "ri").join(right, "rj")
     return scored.withColumn("similarity", METRICS[metric](F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold).select(*keys, "i", "j", "similarity")
 
 
+def _by_rarity(told: DataFrame, keys: list[str]) -> DataFrame:
+    """(by..., ord, row, m, ids): the tokens of ``told`` as numbers, the rarest first.
+
+    A token's number is fixed by its place in the table of tokens, which is kept; texts travel once, to find it.
+    """
+    exploded = told.select(*keys, "ord", "row", "m", F.explode("tokens").alias("token"))
+    often = cut(exploded.groupBy(*keys, "token").agg(F.count("*").alias("often")).withColumn("id", F.monotonically_increasing_id()))
+    listed = exploded.join(often, [*keys, "token"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("often", "id"))).alias("rare"))
+    return told.drop("tokens").join(listed.select("row", F.col("rare.id").alias("ids")), "row")
+
+
 def sharing_pairs(sets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., i, j, jaccard, overlap) of all pairs i < j with a common token; all others have similarity 0."""
     keys = list(by)

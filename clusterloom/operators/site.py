@@ -9,6 +9,7 @@ from clusterloom.functions.text import token_set
 from clusterloom.operators.clustering import MAX_PHRASES, grouped_lexically
 from clusterloom.operators.naming import name_clusters
 from clusterloom.operators.similarity import similar_pairs
+from clusterloom.plans.ranking import numbered_by
 
 DUPLICATE = 0.7
 
@@ -69,8 +70,9 @@ def duplicate_warnings(pages: DataFrame, threshold: float = DUPLICATE, by: tuple
     out = pairs.join(a, [*key, "i"]).join(b, [*key, "j"])
     if dedupe_final_url:
         out = out.where("url_a <> url_b")
-    order = Window.partitionBy(*key or [F.lit(0)]).orderBy(F.desc("similarity"), "i", "j")
-    return out.select(*key, F.row_number().over(order).cast("long").alias("rank"), "url_a", "label_a", "url_b", "label_b", "similarity")
+    order = [F.desc("similarity"), F.col("i"), F.col("j")]
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")) if key else numbered_by(out, order, "rank")
+    return ranked.select(*key, "rank", "url_a", "label_a", "url_b", "label_b", "similarity")
 
 
 def cluster_sites(pages: DataFrame) -> DataFrame:

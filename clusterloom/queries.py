@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clusterloom.functions.html import page_links, page_signal, signal_text
+from clusterloom.functions.html import page_links, page_signal
 from clusterloom.functions.text import capitalized, client_key, percent, plural, squeeze, token_set, tokenize
 from clusterloom.functions.urls import is_skipped, origin, pathname, private_address, private_ipv4, slug_label
 from clusterloom.operators.clustering import LEXICAL, grouped_lexically, parse_phrases
@@ -21,8 +21,9 @@ from clusterloom.operators.similarity import cosine_pairs, ordered_distinct, sha
 from clusterloom.operators.sinks import cluster_lines, link_lines
 from clusterloom.operators.site import cluster_sites, duplicate_warnings, link_suggestions
 from clusterloom.operators.upgma import labelled
+from clusterloom.plans.ranking import numbered_by
 from clusterloom.plans.runtime import cut
-from clusterloom.sources.crawl import candidates, crawl_stats
+from clusterloom.sources.crawl import candidates, crawl_stats, materialize
 from clusterloom.sources.robots import allowed_pages, disallow_rules, rules_of
 from clusterloom.sources.sitemaps import sitemap_urls
 from clusterloom.streaming.rate_limit import Budget, rate_limit, two_tiers
@@ -155,10 +156,10 @@ sig AS (SELECT page_id, url, origin, title, h1, body, coalesce(nullif(title, '')
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(origin, ord, url, label, signal) of the table's pages."""
-    pages = table(spark, sf, "pages").withColumn("s", page_signal(F.col("html")))
-    label = F.coalesce(F.nullif("s.title", F.lit("")), F.nullif("s.h1", F.lit("")), slug_label(F.col("url")))
-    return pages.select(origin(F.col("url")).alias("origin"), F.col("page_id").alias("ord"), "url", label.alias("label"), F.coalesce(F.nullif(signal_text(F.col("s")), F.lit("")), label).alias("signal"))
+    """(origin, ord, url, label, signal) of the table's pages, each fetched at its own URL."""
+    pages = table(spark, sf, "pages")
+    wanted = pages.select(origin(F.col("url")).alias("origin"), F.col("page_id").alias("ord"), "url")
+    return materialize(wanted, pages.select("url", F.lit(True).alias("ok"), F.col("url").alias("final_url"), "html"))
 
 
 def kept_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +249,7 @@ pr AS (SELECT x.id AS a, y.id AS b, x.phrase AS pa, y.phrase AS pb, CASE WHEN le
 def part_names(spark: SparkSession, sf: str) -> DataFrame:
     """(ord, phrase): the different part names, by name. They are combinations of a few words, however many parts there are."""
     names = table(spark, sf, "part").select(F.col("p_name").alias("phrase")).distinct()
-    return names.withColumn("ord", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("phrase")) - 1).cast("long"))
+    return numbered_by(names, [F.col("phrase")], "n").select("phrase", (F.col("n") - 1).alias("ord"))
 
 
 @query(f"WITH {_NAMES} SELECT pa AS a, pb AS b, round(s, 9) AS jaccard FROM pr WHERE s > 0")
@@ -331,6 +332,30 @@ def phrase_clusters(spark, sf):
     return grouped_lexically(part_names(spark, sf)).select("phrase", "cluster", "place")
 
 
+def _merge_groups_sql(threshold: float) -> str:
+    """The same for many groups g at once: `nm` (g, id, ...), `pr` (g, a, b, s)."""
+    return f"""nn AS (SELECT g, count(*) AS n FROM nm GROUP BY g), st AS (
+  SELECT g, 0::BIGINT AS step, a, b, 1::BIGINT AS na, 1::BIGINT AS nb, s FROM pr
+  UNION ALL
+  SELECT g, step + 1, x, y, any_value(nx), any_value(ny), sum(s) FROM (
+    SELECT g, step, s, CASE WHEN a IN (ba, bb) THEN b WHEN b IN (ba, bb) THEN a ELSE a END AS x, CASE WHEN a IN (ba, bb) OR b IN (ba, bb) THEN n + step ELSE b END AS y,
+           CASE WHEN a IN (ba, bb) THEN nb ELSE na END AS nx, CASE WHEN a IN (ba, bb) OR b IN (ba, bb) THEN bn ELSE nb END AS ny
+    FROM (SELECT *, first_value(a) OVER o AS ba, first_value(b) OVER o AS bb, first_value(na + nb) OVER o AS bn, first_value(s / (na * nb)) OVER o AS bs FROM st WINDOW o AS (PARTITION BY g ORDER BY s / (na * nb) DESC, a, b)) JOIN nn USING (g)
+    WHERE bs >= {threshold} AND NOT (a = ba AND b = bb)
+  ) GROUP BY g, step, x, y
+), lg AS (
+  SELECT g, a, b, n + step AS c FROM (SELECT *, row_number() OVER (PARTITION BY g, step ORDER BY s / (na * nb) DESC, a, b) AS r FROM st) JOIN nn USING (g) WHERE r = 1 AND s / (na * nb) >= {threshold}
+), ch AS (SELECT g, a AS child, c AS parent, '0' AS side FROM lg UNION ALL SELECT g, b, c, '1' FROM lg),
+up AS (
+  SELECT g, id, id AS top, '' AS path FROM nm
+  UNION ALL
+  SELECT up.g, up.id, ch.parent, ch.side || up.path FROM up JOIN ch ON ch.g = up.g AND ch.child = up.top
+), gr AS (
+  SELECT g, id, (dense_rank() OVER (PARTITION BY g ORDER BY top) - 1)::BIGINT AS cluster, (row_number() OVER (PARTITION BY g, top ORDER BY path) - 1)::BIGINT AS place
+  FROM up WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.g = up.g AND ch.child = up.top)
+)"""
+
+
 _NAMED = f"""mb AS (SELECT * FROM gr JOIN nm USING (id)),
 tf AS (SELECT cluster, token, count(*) AS n FROM (SELECT cluster, unnest(t) AS token FROM mb) GROUP BY ALL),
 tp AS (SELECT cluster, string_agg(upper(token[1]) || token[2:], ' ' ORDER BY r) AS name FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, token COLLATE en, token) AS r FROM tf) WHERE r <= 2 GROUP BY cluster),
@@ -349,14 +374,39 @@ def tsv_export(spark, sf):
     return cluster_lines(name_clusters(grouped_lexically(part_names(spark, sf))), False).select("line")
 
 
-@query()
+_VECTORS = """nm AS (SELECT 0 AS g, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+nz AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM nm),
+pr AS (SELECT 0 AS g, x.k AS a, y.k AS b, list_cosine_similarity(x.v, y.v) AS s FROM nz x JOIN nz y ON x.k < y.k)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_VECTORS.replace("nm AS", "vs AS").replace("FROM nm", "FROM vs")}, nm AS (SELECT g, k AS id, id AS vec_id FROM nz), {_merge_groups_sql(0.35)}
+SELECT vec_id, min(vec_id) OVER (PARTITION BY cluster) AS cluster, place FROM gr JOIN nm USING (id)"""
+)
 def embedding_clusters(spark, sf):
     """Average-link groups over all vectors at cosine 0.35, component by component."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
     return labelled(vectors, cosine_pairs(vectors, 0.35), 0.35, "cosine").select(F.col("ord").alias("vec_id"), "cluster", "place")
 
 
-@query()
+#: Clusters of each site: signals by first page, overlap of words, names and pillars, then pages in place of signals.
+_SITES = f"""sp AS (SELECT origin AS g, signal AS phrase, min(page_id) AS first_page FROM sig GROUP BY ALL),
+nm AS (SELECT g, phrase, (row_number() OVER (PARTITION BY g ORDER BY first_page) - 1)::BIGINT AS id, list_distinct({_tokens_sql('phrase')}) AS t, len({_tokens_sql('phrase')}) AS words FROM sp),
+pr AS (SELECT x.g, x.id AS a, y.id AS b, CASE WHEN len(x.t) = 0 OR len(y.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x.t, y.t))::DOUBLE / least(len(x.t), len(y.t)) END AS s FROM nm x JOIN nm y ON x.g = y.g AND x.id < y.id),
+{_merge_groups_sql(LEXICAL)},
+mb AS (SELECT * FROM gr JOIN nm USING (g, id)),
+tf AS (SELECT g, cluster, token, count(*) AS n FROM (SELECT g, cluster, unnest(t) AS token FROM mb) GROUP BY ALL),
+tp AS (SELECT g, cluster, string_agg(CASE WHEN token[1] = 'ß' THEN 'SS' ELSE upper(token[1]) END || token[2:], ' ' ORDER BY r) AS name FROM (SELECT *, row_number() OVER (PARTITION BY g, cluster ORDER BY n DESC, token COLLATE en, token) AS r FROM tf) WHERE r <= 2 GROUP BY g, cluster),
+cl AS (SELECT g, cluster, arg_min(phrase, (words, length(phrase), place)) AS main, count(*) AS size, arg_min(phrase, place) AS first FROM mb GROUP BY g, cluster),
+nc AS (SELECT g, cluster, row_number() OVER (PARTITION BY g ORDER BY size DESC, cluster) AS rank, coalesce(name, first) AS name, main FROM cl LEFT JOIN tp USING (g, cluster)),
+pz AS (SELECT mb.g, mb.cluster, row_number() OVER (PARTITION BY mb.g, mb.cluster ORDER BY mb.phrase, page_id) AS pos, url, label FROM mb JOIN sig ON sig.origin = mb.g AND sig.signal = mb.phrase),
+ml AS (SELECT g, cluster, arg_min(label, page_id) AS main_label FROM nc JOIN sig ON sig.origin = nc.g AND sig.signal = nc.main GROUP BY g, cluster)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PAGES}, {_SITES}, ph AS (SELECT g, cluster, string_agg(label, '|' ORDER BY p) AS phrases FROM (SELECT g, cluster, label, min(pos) AS p FROM pz GROUP BY ALL) GROUP BY g, cluster)
+SELECT g AS origin, rank, name, main_label AS main_phrase, phrases, (SELECT count(*) FROM pz WHERE pz.g = nc.g AND pz.cluster = nc.cluster) AS n_pages FROM nc JOIN ml USING (g, cluster) JOIN ph USING (g, cluster)"""
+)
 def site_clusters(spark, sf):
     """Silos of every site: clusters of its pages by overlap."""
     found = cluster_sites(kept_pages(spark, sf))
@@ -400,7 +450,13 @@ def silo_links(spark, sf):
     return link_suggestions(clusters).select("origin", "seq", "from_url", "from_label", "to_url", "to_label", "anchor")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PAGES}, {_SITES},
+pl AS (SELECT g, cluster, arg_min(url, (label <> main_label, pos)) AS purl, arg_min(label, (label <> main_label, pos)) AS plabel FROM pz JOIN ml USING (g, cluster) GROUP BY g, cluster HAVING count(*) > 1),
+sk AS (SELECT * FROM pz JOIN pl USING (g, cluster) JOIN nc USING (g, cluster) WHERE url <> purl)
+SELECT name || chr(9) || purl || chr(9) || url || chr(9) || label AS line FROM sk UNION ALL SELECT name || chr(9) || url || chr(9) || purl || chr(9) || plabel FROM sk
+UNION ALL SELECT 'Klaster' || chr(9) || 'Od' || chr(9) || 'Do' || chr(9) || 'Sugerowany anchor'"""
+)
 def link_export(spark, sf):
     """Tab-separated links of all clusters of all sites."""
     return link_lines(link_suggestions(cluster_sites(kept_pages(spark, sf)))).select("line")

@@ -89,9 +89,15 @@ def discover(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     placed = fetched.withColumn("p", url_parts(F.col("url")))
     named = placed.where("ok").select(F.col("p.origin").alias("origin"), F.col("p.path").alias("path"), "url", "html")
-    homes = named.where("path = '/'").select("origin", "url", "html").dropDuplicates(["origin"])
-    rules = rules_of(named.where("path = '/robots.txt'").select("origin", F.col("html").alias("body")))
-    maps = sitemap_urls(named.where("path = '/sitemap.xml'").select("origin", F.col("html").alias("body")), fetched.where("ok").select("url", F.col("html").alias("body")))
+
+    def at(path: str) -> DataFrame:
+        """(origin, url, html): the row of that URL; where there are only others with its path, such as with a query, the least of these."""
+        best = F.min(F.struct(F.col("url") != F.concat("origin", F.lit(path)), "url", "html")).alias("x")
+        return named.where(F.col("path") == path).groupBy("origin").agg(best).select("origin", "x.url", "x.html")
+
+    homes = at("/")
+    rules = rules_of(at("/robots.txt").select("origin", F.col("html").alias("body")))
+    maps = sitemap_urls(at("/sitemap.xml").select("origin", F.col("html").alias("body")), fetched.where("ok").select("url", F.col("html").alias("body")))
     maps = maps.join(homes.select("origin"), "origin", "left_semi")
     links = site_links(homes.select("origin", F.concat("origin", F.lit("/")).alias("url"), "html"), fetched)
     wanted = cut(candidates(homes, maps, links, rules))

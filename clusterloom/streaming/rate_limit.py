@@ -121,6 +121,25 @@ def rate_limit_stream(requests: DataFrame, budget: Budget, late: str = "10 minut
     )
 
 
-def unexpired(states: dict[str, tuple[int, int]], now: int, window_ms: int, most: int = 20_000) -> dict[str, tuple[int, int]]:
-    """States (count, start) by key that remain once more than ``most`` are tracked; the current window judges all keys."""
-    return states if len(states) <= most else {k: v for k, v in states.items() if now - v[1] < window_ms}
+#: Keys that a limiter tracks before it drops those whose window is over.
+TRACKED = 20_000
+
+
+class Limiter:
+    """Budgets of many keys in one process, for a service's front door.
+
+    Once more than ``tracked`` keys are held, those go whose window is over as the current
+    request's budget counts it; so a key of a longer window can lose its count early.
+    """
+
+    def __init__(self, tracked: int = TRACKED) -> None:
+        self.tracked, self.states = tracked, {}
+
+    def admit(self, key: str, now: int, budget: Budget) -> tuple[bool, int]:
+        """Whether a request of ``key`` at ``now`` (ms) is allowed, and the seconds to wait if not."""
+        if len(self.states) > self.tracked:
+            self.states = {k: v for k, v in self.states.items() if now - v[1] < budget.window_ms}
+        counter = Counter(budget, *self.states.get(key, (0, None)))
+        allowed, wait = counter.admit(now)
+        self.states[key] = counter.count, counter.start
+        return allowed, wait

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clusterloom.plans.components import connected_components
 from clusterloom.plans.runtime import cut
 from clusterloom.streaming.progress import Progress
-from clusterloom.streaming.rate_limit import EXPENSIVE, GENERAL, Budget, Counter, is_expensive, rate_limit, rate_limit_stream, two_tiers, unexpired
+from clusterloom.streaming.rate_limit import EXPENSIVE, GENERAL, Budget, Counter, Limiter, is_expensive, rate_limit, rate_limit_stream, two_tiers
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -56,8 +56,9 @@ def test_stream_is_as_batch(spark, tmp_path):
 
 
 def test_eviction():
-    states = {"a": (1, 0), "b": (1, 900)}
-    assert unexpired(states, 1000, 500, 1) == {"b": (1, 900)} and unexpired(states, 1000, 500, 2) == states
+    limiter = Limiter(1)
+    limiter.states = {"a": (1, 100), "b": (1, 900)}
+    assert limiter.admit("c", 1000, Budget(1, 500)) == (True, 0) and set(limiter.states) == {"b", "c"}
 
 
 def test_components(spark):
