@@ -306,8 +306,8 @@ def bitmap(windows_: DataFrame, column: str, most: int = BITS) -> tuple[np.ndarr
     slot = F.shiftrightunsigned(column, 64 - bits)
     words = windows_.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # two numbers for each 64 bits at most
-    out[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # two numbers for each 64 bits at most
+    out[filled["word"].to_numpy()] = filled["bits"].to_numpy()
     return out, bits
 
 

@@ -26,6 +26,8 @@ from clusterloom.plans.runtime import cut
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the hash that name a piece.
 PIECE = 3
+#: Leaves that are broadcast at most (some 100 bytes each); more are joined by a shuffle.
+FEW = 50_000
 #: Weights of the query, in whole numbers up to 10,000; a name that isn't listed weighs 1.
 WEIGHTS: dict[str, dict[str, int]] = {
     "domain": {"web": 5, "reference": 3, "forum": 2},
@@ -109,6 +111,12 @@ def _placed(docs: DataFrame, domain: Column | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), told.alias("domain"), lang.alias("lang"), source.alias("source"), n_tokens(docs["text"]).alias("tokens"), _name(docs).alias("name"))
 
 
+def _few(leaves: DataFrame) -> tuple[DataFrame, bool]:
+    """``leaves`` (cut), marked for broadcast if their number is known to be small, so that a hot leaf's rows stay where they are."""
+    few = leaves.limit(FEW + 1).count() <= FEW
+    return (F.broadcast(leaves) if few else leaves), few
+
+
 def prefixes(rows: DataFrame, budget_percent: int, epochs: int, weights: Mapping[str, Mapping[str, int]], seed: str) -> DataFrame:
     """(domain, lang, source, whole, bound): whole epochs of each leaf, and the greatest hash of the prefix taken of the next; '' takes none.
 
@@ -119,8 +127,11 @@ def prefixes(rows: DataFrame, budget_percent: int, epochs: int, weights: Mapping
     given = leaf_budgets(leaves, F.expr(f"cast(cast(total as decimal(38,0)) * {budget_percent} div 100 as long)"), epochs, weights)
     given = given.select(*path, F.expr("case when tokens = 0 then 0 else budget div tokens end").alias("whole"), F.expr("case when tokens = 0 then 0 else budget % tokens end").alias("left"))
     given = cut(given)
-    mine = rows.join(given.select(*path, "whole"), path).select(*path, _hash(F.col("whole"), seed).alias("hash"), "tokens")
+    wholes, few = _few(given.select(*path, "whole"))
+    mine = rows.join(wholes, path).select(*path, _hash(F.col("whole"), seed).alias("hash"), "tokens")
     mine = mine.withColumn("piece", F.substring("hash", 1, PIECE))
+    #: after a shuffle by leaf an exchange of its own lets the hot ones be split
+    mine = mine if few else mine.repartition(*path, "piece")
     sums = mine.groupBy(*path, "piece").agg(F.sum("tokens").alias("here"))
     before = Window.partitionBy(*path).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = sums.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))).join(given.select(*path, "left"), path)
@@ -128,7 +139,7 @@ def prefixes(rows: DataFrame, budget_percent: int, epochs: int, weights: Mapping
     #: pieces that fit give the bound at first ("~" is after all digits); the one after them may move it
     ends = cut(pieces.groupBy(*path).agg(F.concat(F.max(F.when(fits, F.col("piece"))), F.lit("~")).alias("bound"), F.min(F.when(~fits, F.col("piece"))).alias("piece"), F.min(F.when(~fits, F.col("before"))).alias("before"), F.min("left").alias("left")))
     ending = ends.where("piece is not null").select(*path, "piece", "before", "left")
-    units = mine.join(ending.select(*path, "piece"), [*path, "piece"]).groupBy(*path, "hash").agg(F.sum("tokens").alias("here"))
+    units = mine.join(_few(ending.select(*path, "piece"))[0], [*path, "piece"]).groupBy(*path, "hash").agg(F.sum("tokens").alias("here"))
     so_far = Window.partitionBy(*path).orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
     inside = units.withColumn("sum", F.sum("here").over(so_far)).join(ending.select(*path, "before", "left"), path).where(F.col("before") + F.col("sum") <= F.col("left"))
     moved = inside.groupBy(*path).agg(F.max("hash").alias("further"))
@@ -149,7 +160,7 @@ def mixture(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int =
     """
     path = list(LEVELS)
     rows = cut(_placed(docs, domain))
-    placed = rows.join(prefixes(rows, budget_percent, epochs, weights, seed), path)
+    placed = rows.join(_few(prefixes(rows, budget_percent, epochs, weights, seed))[0], path)
     times = F.col("whole") + F.when(_hash(F.col("whole"), seed) <= F.col("bound"), 1).otherwise(0)
     times = placed.withColumn("times", times)
     return times.where("times > 0").select("doc_id", *path, "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
@@ -164,7 +175,7 @@ def mixed(docs: DataFrame, budget_percent: int = 80, seed: str = SEED) -> DataFr
     names = [f"_{i}" for i in range(len(docs.columns))]
     own = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
     rows = docs.select(*own, domain_of(docs["source"]).alias("domain"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["source"], F.lit("")).alias("source"), n_tokens(docs["text"]).alias("tokens"), _name(docs).alias("name"))
-    placed = rows.join(bounds, list(LEVELS)).where((F.col("whole") > 0) | (_hash(F.col("whole"), seed) <= F.col("bound")))
+    placed = rows.join(_few(bounds)[0], list(LEVELS)).where((F.col("whole") > 0) | (_hash(F.col("whole"), seed) <= F.col("bound")))
     return placed.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.plans.runtime import cut
+
 #: Documents without an id are ordered by a hash of their text, from here to the greatest whole number.
 NAMELESS = 2**63 - 2**61
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -34,13 +36,27 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"].cast("long"), docs["text"].isNull(), docs["text"])
 
 
+#: Row keys that are broadcast at most (8 bytes each); more are joined by a shuffle.
+FEW = 200_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` kept, and marked for broadcast if they were counted to be few, so that texts needn't be shuffled."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``row_key`` isn't in ``keys`` (one column), whatever else ``docs`` has."""
+    keys = few(keys)
     return docs.join(keys, row_key(docs) == keys[keys.columns[0]], "left_anti")
 
 
 def only_once(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` with one row, any of them, for each ``row_key`` in ``keys`` (one column); all other rows as they are."""
+    keys = cut(keys)
+    if not keys.limit(1).count():
+        return docs
     names = [f"_{i}" for i in range(len(docs.columns))]
     listed = docs.select(row_key(docs).alias("_key"), F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("_row"))
     one = listed.join(keys, listed["_key"] == keys[keys.columns[0]], "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
