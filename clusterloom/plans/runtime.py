@@ -33,6 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Most bytes that a task hands to Python at a time. Texts held by Spark's own bound, 64 MB, take several times that beyond the heap, for each task.
+_BATCH, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at a time, once, unless the session has a bound of its own. A single longer row goes alone."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and keeps it in the shared folder, where the loss of executors doesn't reach it.
 
@@ -43,6 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
+    small_batches(spark)
     if spark.conf.get(_CLEANUP, None) != "true" and not spark.conf.get("spark.loom.keepShuffleFiles", ""):
         spark.conf.set(_CLEANUP, "true")
     return df.select("*").checkpoint(eager=True)
