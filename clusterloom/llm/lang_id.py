@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.words import binary, key_of
+from clusterloom.plans.runtime import small_batches
 
 #: Sampled texts of a label, of all labels together (but at least ``FEW`` of each), and the characters of a text's sampled segment: what bounds the driver's sample.
 TEXTS, ALL_TEXTS, FEW, SEGMENT_CHARS = 300, 14_400, 20, 6_000
 #: Training chains computed at a time and their words; labels that each such portion of chains is meant for; weights; passes.
 CHAINS, CHAIN, PER_PORTION, SLOTS, PASSES = 1_000, 60, 48, 1 << 16, 30
-#: Words a worker remembers, and words labelled at a time.
-REMEMBERED, AT_ONCE = 400_000, 1_000_000
+#: Words a worker remembers, words labelled at a time, and new words scored at a time.
+REMEMBERED, AT_ONCE, PORTION = 300_000, 300_000, 4_096
 #: Bytes of a word; what is longer is labelled piece by piece.
 PIECE = 48
 UNKNOWN = "und"
@@ -90,8 +92,11 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, moves: np.ndarray, listed: set[str]) -> None:
         self.labels, self.weights, self.moves, self.listed = labels, weights, moves, listed
 
-    def scores(self, word: str) -> np.ndarray:
-        return self.weights[features(word, self.listed)].sum(axis=0)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Sums of the weights of each word's features (word, label)."""
+        slots = [features(w, self.listed) for w in words]
+        first = np.cumsum([0, *map(len, slots[:-1])])  # no word is without features
+        return np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(slots), np.int64)], first, axis=0)
 
 
 def expected(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -258,13 +263,19 @@ def _label(shared, columns: list[str]):
                     more = max(len(table), len(number) - len(table))
                     table = np.concatenate([table, np.zeros((more, k), np.float32)])
                     lettered, long = (np.concatenate([x, np.zeros(more, bool)]) for x in (lettered, long))
-                for i, w in enumerate(number.new, len(number) - len(number.new)):
+                first, scored, at = len(number) - len(number.new), [], []
+                for i, w in enumerate(number.new, first):
                     long[i] = len(w) > PIECE
                     if long[i]:
                         continue
                     text = w.decode(errors="replace").lower()
                     lettered[i] = text.isalpha() or any(c.isalpha() for c in text)
-                    table[i] = model.scores(text) if lettered[i] else 0
+                    if lettered[i]:
+                        scored.append(text)
+                        at.append(i)
+                table[first : len(number)] = 0
+                for c in range(0, len(at), PORTION):
+                    table[at[c : c + PORTION]] = model.scores(scored[c : c + PORTION])
                 number.new.clear()
             if long[ids].any():
                 return looked_up([p for w in words for p in pieces(w)])
@@ -324,6 +335,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     model has no labels, every text gets `und` with score 0. Columns named
     lang_pred or score give way to the new ones; repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights a label
@@ -347,6 +359,6 @@ def confident(docs: DataFrame, least: float = 0.4) -> DataFrame:
     So texts without a letter go, and those mixed so that no language has this share. The model learns from the same documents as in the query.
     """
     model = fit_on(docs.where(~held_out()))
-    named = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_{docs.columns.index('text')}"))
-    kept = identify(named, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    names = [c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)]  # out of the way of the new columns; texts travel once
+    kept = identify(docs.toDF(*names), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.words import key_of
+from clusterloom.plans.runtime import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -544,6 +545,7 @@ def personal_data(docs: DataFrame, model: Model, with_text: bool = False) -> Dat
     """
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long" + (", redacted string" if with_text else "")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x 5 weights
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(shared, with_text), schema)
 
 
