@@ -120,7 +120,8 @@ def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = REDIRECT
     step = redirects.select(F.col("from_url").alias("final_url"), F.col("to_url")).dropDuplicates(["final_url"])
     now = urls.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
     for _ in range(most + 1):
-        moved = now.join(step, "final_url", "left")
+        #: the size of a table made by exploding is guessed too low; it must not go to every executor by way of the driver
+        moved = now.join(step.hint("merge"), "final_url", "left")
         now = moved.select("url", F.coalesce("to_url", "final_url").alias("final_url"), (F.col("hops") + F.when(F.col("to_url").isNotNull(), 1).otherwise(0)).alias("hops"))
     return now.select("url", F.when(F.col("hops") <= most, F.col("final_url")).alias("final_url"), "hops")
 
