@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as e
+from clusterloom.operators import site, sparse_upgma, upgma
 from clusterloom.sources.fetching import follow_redirects
 
 
@@ -35,3 +37,33 @@ def test_redirects_are_not_broadcast(spark):
     steps = spark.range(5).selectExpr("concat('u', id) AS from_url", "concat('v', id) AS to_url")
     plan = follow_redirects(spark.range(5).selectExpr("concat('u', id) AS url"), steps)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("metric", ["jaccard", "overlap", "cosine"])
+def test_merges_without_a_matrix_are_those_of_a_matrix(metric):
+    """Ties, rounding, empty sets and null vectors included."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 30, 90):
+        if metric == "cosine":
+            x = rng.normal(size=(n, 5))
+            x[rng.integers(0, n, n // 3)] = x[0]
+            x[n // 2] = 0
+            items, matrix = sparse_upgma.Vectors(x), upgma.vector_similarity(x)
+        else:
+            x = [[f"t{t % 40}" for t in rng.zipf(1.5, int(rng.integers(0, 9)))] for _ in range(n)]
+            items, matrix = sparse_upgma.Sets(x, metric), upgma.set_similarity(x, metric)
+        for threshold in (0.24, 0.5, 0.9):
+            assert sparse_upgma.merges(items, threshold) == upgma.merges(matrix, threshold)
+
+
+def test_a_site_has_more_pages_than_a_request_has_phrases(spark):
+    pages = spark.range(1_600).selectExpr("'http://a.test' AS origin", "id AS ord", "concat('http://a.test/', id) AS url", "concat('l', id) AS label", "concat('word', id, ' leaf', id div 2) AS signal")
+    rows = site.site_groups(pages).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in rows) == [2] * 800
+
+
+def test_a_component_of_more_vectors_than_a_matrix_takes(spark):
+    vectors = spark.range(5_200).selectExpr("id AS ord", "array(1.0, id / 1e9) AS embedding")
+    pairs = spark.range(1, 5_200).selectExpr("0L AS i", "id AS j")
+    found = upgma.labelled(vectors, pairs, 0.35, "cosine")
+    assert found.count() == 5_200 and found.select("cluster").distinct().count() == 1
