@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from clusterloom.plans.runtime import cut
 
-#: Vectors in a block of the all-pairs comparison.
-TILE = 1_024
+#: Vectors compared at once; blocks that vectors are dealt to at most, each vector going once to each; vectors that a block may have before there are more blocks.
+TILE, BLOCKS, LARGEST = 1_024, 24, 32_768
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -101,12 +101,16 @@ def sharing_pairs(sets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def cosine_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(i, j, similarity) of pairs i < j of ``vectors`` (ord, embedding) with cosine >= ``threshold``.
 
-    Blocks of about ``tile`` vectors meet in pairs, each pair of blocks in one
-    task as one matrix product; what it returns is only what passes. Vectors of
+    Blocks of vectors meet in pairs, each pair of blocks in one task as matrix
+    products of ``tile`` vectors with ``tile``; what it returns is only what passes. There are
+    no more than ``BLOCKS`` blocks until these would be larger than ``LARGEST``, so that what is shuffled
+    grows with the vectors and not with their square. Vectors of
     different length are no pair; a null vector has none. An ``ord`` occurs once.
     """
-    rows = vectors.where("embedding is not null").select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-rows.count() // tile))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = vectors.where("embedding is not null").select(F.col("ord").cast("long").alias("ord"), (F.col("embedding") if single else F.col("embedding").cast("array<double>")).alias("embedding"))
+    n = rows.count()
+    blocks = max(1, min(-(-n // tile), BLOCKS), -(-n // LARGEST))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
 
@@ -115,14 +119,20 @@ def cosine_pairs(vectors: DataFrame, threshold: float, tile: int = TILE) -> Data
         for size in sorted(set(pdf["embedding"].map(len))):
             same = pdf[pdf["embedding"].map(len) == size]
             left, right = (same[same["block"] == b] for b in key)
-            x, y = (np.stack(p["embedding"].to_list()) if len(p) else np.empty((0, size)) for p in (left, right))
+            x, y = (np.stack(p["embedding"].to_list()).astype(float) if len(p) else np.empty((0, size)) for p in (left, right))
             nx, ny = (np.sqrt((v * v).sum(axis=1)) for v in (x, y))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = np.where((nx[:, None] == 0) | (ny[None] == 0), 0.0, x @ y.T / (nx[:, None] * ny[None]))
-            r, c = np.nonzero(sim >= threshold)
-            i, j = left["ord"].to_numpy()[r], right["ord"].to_numpy()[c]
-            keep = (i < j) if key[0] == key[1] else (i != j)
-            out.append(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": sim[r, c][keep]}))
+            ox, oy = left["ord"].to_numpy(), right["ord"].to_numpy()
+            for a in range(0, len(x), tile):
+                for b in range(0, len(y), tile):
+                    na, nb = nx[a : a + tile], ny[b : b + tile]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sim = np.where((na[:, None] == 0) | (nb[None] == 0), 0.0, x[a : a + tile] @ y[b : b + tile].T / (na[:, None] * nb[None]))
+                    r, c = np.nonzero(sim >= threshold)
+                    i, j = ox[r + a], oy[c + b]
+                    keep = (i < j) if key[0] == key[1] else (i != j)
+                    out.append(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": sim[r, c][keep]}))
+        if not out:
+            return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "similarity": np.empty(0)})
         return pd.concat(out)
 
     return dealt.groupBy("bi", "bj").applyInPandas(product, "i long, j long, similarity double")

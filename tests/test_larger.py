@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as e
-from clusterloom.operators import site, sparse_upgma, upgma
+from clusterloom.operators import similarity, site, sparse_upgma, upgma
 from clusterloom.sources.fetching import follow_redirects
 
 
@@ -67,3 +67,14 @@ def test_a_component_of_more_vectors_than_a_matrix_takes(spark):
     pairs = spark.range(1, 5_200).selectExpr("0L AS i", "id AS j")
     found = upgma.labelled(vectors, pairs, 0.35, "cosine")
     assert found.count() == 5_200 and found.select("cluster").distinct().count() == 1
+
+
+def test_vectors_go_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """With pairs that are those of one block."""
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 6)))], "ord long, embedding array<float>")
+    want = {(r.i, r.j, round(r.similarity, 9)) for r in similarity.cosine_pairs(vectors, 0.3, 1_000).collect()}
+    monkeypatch.setattr(similarity, "BLOCKS", 3)
+    got = similarity.cosine_pairs(vectors, 0.3, 7)
+    assert {(r.i, r.j, round(r.similarity, 9)) for r in got.collect()} == want
+    assert "sequence(0, 2" in got._jdf.queryExecution().logical().toString() or "[0,1,2]" in got._jdf.queryExecution().optimizedPlan().toString()
