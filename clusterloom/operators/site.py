@@ -10,6 +10,7 @@ from clusterloom.operators.clustering import grouped_lexically
 from clusterloom.operators.naming import name_clusters
 from clusterloom.operators.similarity import similar_pairs
 from clusterloom.plans.ranking import numbered_by
+from clusterloom.plans.runtime import cut
 
 DUPLICATE = 0.7
 
@@ -67,11 +68,14 @@ def duplicate_warnings(pages: DataFrame, threshold: float = DUPLICATE, by: tuple
     pairs = similar_pairs(sets, threshold, "overlap", by)
     a = pages.select(*key, F.col("ord").alias("i"), F.col("url").alias("url_a"), F.col("label").alias("label_a"))
     b = pages.select(*key, F.col("ord").alias("j"), F.col("url").alias("url_b"), F.col("label").alias("label_b"))
-    out = pairs.join(a, [*key, "i"]).join(b, [*key, "j"])
-    if dedupe_final_url:
-        out = out.where("url_a <> url_b")
+    named = lambda found: found.join(a, [*key, "i"]).join(b, [*key, "j"])
     order = [F.desc("similarity"), F.col("i"), F.col("j")]
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")) if key else numbered_by(out, order, "rank")
+    if key:
+        out = named(pairs).where("url_a <> url_b") if dedupe_final_url else named(pairs)
+        ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
+    else:  # numbered while they have no texts, so that these travel no more than they must
+        kept = named(pairs).where("url_a <> url_b").select("i", "j", "similarity") if dedupe_final_url else pairs
+        ranked = named(numbered_by(cut(kept), order, "rank"))
     return ranked.select(*key, "rank", "url_a", "label_a", "url_b", "label_b", "similarity")
 
 
