@@ -25,7 +25,7 @@ TILE, BLOCKS, LARGEST = 1_024, 24, 32_768
 #: Tokens that have a rank, the most frequent ones; all that is sent to every task.
 FREQUENT = 1_048_576
 #: Tokens of sets that are compared in one task, blocks that more are dealt to, tokens that a block may have before there are more blocks.
-ONE_BLOCK, SET_BLOCKS, BLOCK_TOKENS = 131_072, 12, 8_388_608
+ONE_BLOCK, SET_BLOCKS, BLOCK_TOKENS = 131_072, 8, 8_388_608
 #: Tokens of the sets of a tile, about; sets compared with one at once; common tokens of heads counted at once; tokens by which heads are longer than they must be.
 TILE_TOKENS, AT_ONCE, MET_AT_ONCE, MORE = 262_144, 1_024, 1_000_000, 3
 
@@ -217,7 +217,9 @@ def _jaccard_pairs(told: DataFrame, numbers: DataFrame, threshold: float, keys:
     kept = cut(numbers.select(*keys, "row", "m", "ids").join(tiles.select("row"), "row"))
 
     head = F.least(F.col("m"), _first(F.col("m"), threshold) + MORE)
-    heads = kept.select(*keys, F.col("row").alias("ord"), "row", "m", F.slice("ids", F.lit(1), head).alias("ids"))
+    #: half of a hash will do here: where two tokens look alike, a pair more is compared and none is lost
+    short = lambda i: F.when(i < 0, F.shiftright(i, 32)).otherwise(i).cast("int")
+    heads = kept.select(*keys, F.col("row").alias("ord"), "row", "m", F.transform(F.slice("ids", F.lit(1), head), short).alias("ids"))
     fields = [T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]
     pairs = cut(_blockwise(heads, kept.select(*keys, head.alias("n")), keys, fields, lambda x, y, side: x.alike(y, threshold, side)).select("x", "y"))
     for s in "xy":
